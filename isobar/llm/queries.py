@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from isobar.llm.bpe import bpe_roundtrip
 from isobar.llm.decontaminate import contamination
+from isobar.llm.lines import drop_boilerplate
 from isobar.llm.shared import shared_dir
+from isobar.llm.substrings import remove_repeats
 from isobar.llm.tokenfile import read_token_file, write_token_file
 from isobar.llm.urls import judge_urls
 
@@ -66,6 +68,37 @@ select page_id, s.host, s.path, rule, coalesce(v, 'allow') as verdict from s lef
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP4_SQL = r"""
+with d as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
+n as (select source, count(*) as total from d group by source),
+l as (select source, line, count(*) as c from (select source, unnest(list_distinct([trim(x, ' ') for x in lines if trim(x, ' ') <> ''])) as line from d) group by all),
+bad as (select source, list(line) as bad from l join n using (source) where c >= 5 and c > total * 0.08 group by source),
+k as (select d.*, case when bad is null then lines else [x for x in lines if trim(x, ' ') = '' or not list_contains(bad, trim(x, ' '))] end as kept from d left join bad using (source))
+select doc_id, source, cast(len([x for x in lines if trim(x, ' ') <> '']) as bigint) as n_lines, cast(len(lines) - len(kept) as bigint) as n_dropped,
+       sha256(case when len(kept) = len(lines) then text else coalesce(array_to_string(kept, chr(10)), '') end) as text_sha256 from k
+"""
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_units", "n_removed", F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])).alias("spans"), "text").withColumn("spans", F.array_join("spans", ","))
+
+
+OP7_SQL = r"""
+with l as (select doc_id, u, line, sum(length(line) + 1) over (partition by doc_id order by u) - length(line) - 1 as start from
+           (select doc_id, unnest(range(len(lines))) as u, unnest(lines) as line from (select doc_id, string_split(text, chr(10)) as lines from documents))),
+x as (select *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+', ' ', 'g'), ' ') as norm from l),
+y as (select *, len(string_split(norm, ' ')) >= 5 and row_number() over (partition by norm order by doc_id, u) > 1 as gone from x)
+select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed,
+       coalesce(string_agg(cast(start as bigint) || '-' || cast(start + length(line) as bigint), ',' order by u) filter (gone), '') as spans,
+       coalesce(string_agg(line, chr(10) order by u) filter (not gone), '') as text
+from y group by doc_id
+"""
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=1)
@@ -78,12 +111,16 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_file": op5_token_file,
     "op6_url_filter": op6_url_filter,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op6_url_filter": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
