@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isobar.llm import language, perplexity, quality
 from isobar.llm.bpe import bpe_roundtrip
 from isobar.llm.decontaminate import contamination
 from isobar.llm.lines import drop_boilerplate
@@ -68,6 +69,27 @@ select page_id, s.host, s.path, rule, coalesce(v, 'allow') as verdict from s lef
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = lambda c: F.coalesce(F.crc32(c.cast("string")), F.lit(0)) % 3
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 1)
+    scored = quality.score_quality(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return perplexity.judge_quality(documents, perplexity.fit(documents))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 5
+    model = language.fit(documents, fold != 0)
+    predicted = language.predict_language(documents, model)
+    return predicted.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
@@ -90,7 +112,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with l as (select doc_id, u, line, sum(length(line) + 1) over (partition by doc_id order by u) - length(line) - 1 as start from
            (select doc_id, unnest(range(len(lines))) as u, unnest(lines) as line from (select doc_id, string_split(text, chr(10)) as lines from documents))),
-x as (select *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+', ' ', 'g'), ' ') as norm from l),
+x as (select *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
+ ]+', ' ', 'g'), ' ') as norm from l),
 y as (select *, len(string_split(norm, ' ')) >= 5 and row_number() over (partition by norm order by doc_id, u) > 1 as gone from x)
 select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed,
        coalesce(string_agg(cast(start as bigint) || '-' || cast(start + length(line) as bigint), ',' order by u) filter (gone), '') as spans,
@@ -111,10 +134,13 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_file": op5_token_file,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
