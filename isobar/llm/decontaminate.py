@@ -95,17 +95,8 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFram
     return each.groupBy("size", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For every document: ``doc_id``, ``n_words``, ``n_hit`` (words within occurrences of benchmark windows), ``n_items`` and ``items``
-    (ids of the items whose windows occur, sorted as strings) and ``contaminated``.
-
-    Words are runs of digits, letters and characters beyond ASCII, compared with A-Z lower-cased. A window is ``SPAN`` words in a row
-    of an item; an item of fewer words, but not none, is one window. A null or empty text has no words; items with a null id or without words
-    have no windows. Repeated rows give repeated results, an empty benchmark no hits and empty documents no rows. Other columns are not read.
-
-    Texts are told apart by a digest, so of equal texts one is examined further. The benchmark's tables are broadcast only if their counted size allows.
-    """
-    docs = documents.select(documents[doc_id].alias("id"), documents[text].cast("string").alias("body"))
+def matched_texts(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """For each distinct text of (body) in which a benchmark window occurs: its ``key``, the words hit, and the items whose windows occur; a written table."""
     windows = written(benchmark_windows(benchmark, item_id, item_text))
     sizes = {r["size"] for r in windows.select("size").distinct().collect()}
     short, long = sorted(sizes - {SPAN}), SPAN in sizes
@@ -125,7 +116,28 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     # Words covered by the spans, which are in order.
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", zero, lambda a, x: F.struct(F.greatest(a["end"], x["at"] + x["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["at"] + x["size"] - F.greatest(a["end"], x["at"]))).alias("n")))["n"]
-    matched = written(matched.select("key", covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")))
+    return written(matched.select("key", covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")))
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, in whose text no benchmark window occurs."""
+    matched = matched_texts(documents.select(documents[text].cast("string").alias("body")), benchmark, item_id, item_text)
+    keys = matched.select("key")
+    return documents.join(small_or_not(keys), text_key(documents[text].cast("string")) == keys["key"], "left_anti")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """For every document: ``doc_id``, ``n_words``, ``n_hit`` (words within occurrences of benchmark windows), ``n_items`` and ``items``
+    (ids of the items whose windows occur, sorted as strings) and ``contaminated``.
+
+    Words are runs of digits, letters and characters beyond ASCII, compared with A-Z lower-cased. A window is ``SPAN`` words in a row
+    of an item; an item of fewer words, but not none, is one window. A null or empty text has no words; items with a null id or without words
+    have no windows. Repeated rows give repeated results, an empty benchmark no hits and empty documents no rows. Other columns are not read.
+
+    Texts are told apart by a digest, so of equal texts one is examined further. The benchmark's tables are broadcast only if their counted size allows.
+    """
+    docs = documents.select(documents[doc_id].alias("id"), documents[text].cast("string").alias("body"))
+    matched, key = matched_texts(docs, benchmark, item_id, item_text), text_key(F.col("body"))
     out = docs.select("id", key.alias("key"), F.size(words_of(F.col("body"))).cast("long").alias("n_words")).join(small_or_not(matched), "key", "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))

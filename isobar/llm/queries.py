@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isobar.llm import language, perplexity, quality
 from isobar.llm.bpe import bpe_roundtrip
 from isobar.llm.decontaminate import contamination
+from isobar.llm.jaccard import jaccard_groups
 from isobar.llm.lines import drop_boilerplate
 from isobar.llm.shared import shared_dir
 from isobar.llm.substrings import remove_repeats
@@ -69,6 +70,10 @@ select page_id, s.host, s.path, rule, coalesce(v, 'allow') as verdict from s lef
 """
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.hex("set_key").alias("set_key"), "n_shingles", "n_links")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     fold = lambda c: F.coalesce(F.crc32(c.cast("string")), F.lit(0)) % 3
@@ -134,6 +139,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_file": op5_token_file,

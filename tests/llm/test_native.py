@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from isobar.llm.decontaminate import contamination
+from isobar.llm.decontaminate import contamination, drop_contaminated
 from isobar.llm.urls import judge_urls
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -53,6 +53,12 @@ def test_contamination(spark, items):
 
 
 
+def test_clean_rows_stay(spark):
+    docs = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, key string, size int")
+    kept = drop_contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(TEXTS) if not brute(t, ITEMS)[1]}
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert contamination(none, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
