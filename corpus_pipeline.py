@@ -1,8 +1,68 @@
-"""A pipeline from raw documents to token digests."""
+"""From raw documents to digests of their tokens: five stages, each on all that the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isobar.llm import quality
+from isobar.llm.bpe import bpe_roundtrip
+from isobar.llm.decontaminate import drop_contaminated
+from isobar.llm.jaccard import jaccard_groups
+from isobar.llm.lines import drop_boilerplate
+from isobar.llm.queries import table, tokenizer_path
+from isobar.llm.shared import small_or_not, written
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from all labels, gives at least even chances of being good."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return quality.score_quality(docs, model, out="quality_score").where("quality_score >= 0.5").drop("quality_score")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their source's boilerplate lines; ``n_chars`` is counted anew."""
+    return drop_boilerplate(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id, once; documents without words all stay."""
+    groups = jaccard_groups(docs)
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("tie").eqNullSafe(F.col("class_tie"))
+    stay = groups.where(first).groupBy("doc_id", "tie").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")).toDF("stay_id", "stay_tie", "rows", "n")
+    tie = F.xxhash64(docs["text"])
+    kept = docs.withColumn("own_tie", tie).join(small_or_not(written(stay)), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("own_tie") == F.col("stay_tie")))
+    # Rows that repeat an id with its text are the only ones to be compared again.
+    once = kept.where("rows = 1 or n = 0").select(*docs.columns)
+    again = kept.where("rows > 1 and n > 0").dropDuplicates(["doc_id", "own_tie"]).select(*docs.columns)
+    return once.unionByName(again)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents."""
+    return bpe_roundtrip(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", encode),
+]
+
+#: SQL expresses neither the classifier nor BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each reading what the one before it wrote."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
