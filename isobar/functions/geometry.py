@@ -63,6 +63,31 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * F.asin(F.sqrt(F.least(a, lit(1))))
 
 
+def let(x: Column, body) -> Column:
+    """The body of x, with x worked out once however often the body uses it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def position(fi: Column, fj: Column) -> Column:
+    return F.struct(fi.alias("i"), fj.alias("j"))
+
+
+def nearest_of_four(at: Column, clamp_row, clamp_column, coordinates, columns: int, lat: Column, lon: Column, key: tuple[str, ...]) -> Column:
+    """Of the four points around a position the nearest, as the least of structs that begin with the distance and ``key``."""
+    steps = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    cells = let(at, lambda f: F.array(*[F.struct(F.lit(k).alias("k"), clamp_row(F.floor(f["j"]).cast("long") + dj).alias("j"), clamp_column(F.floor(f["i"]).cast("long") + di).alias("i")) for k, (dj, di) in enumerate(steps)]))
+
+    def placed(c: Column) -> Column:
+        y, x = coordinates(c["j"], c["i"])
+        return F.struct(c["k"].alias("k"), (c["j"] * columns + c["i"]).alias("idx"), y.alias("lat"), x.alias("lon"))
+
+    def measured(p: Column) -> Column:
+        others = [n for n in ("idx", "lat", "lon") if n not in key]
+        return F.struct(haversine(lat, lon, p["lat"], p["lon"]).alias("d"), *[p[n].alias(n) for n in (*key, *others)])
+
+    return F.array_min(F.transform(F.transform(cells, placed), measured))
+
+
 def corner_weights(fi: Column, fj: Column, ni: int, nj: int, round_the_world: bool = False) -> Column:
     """The four points around a fractional position, with the fractions to weigh them by. Beyond the edge the fraction is 0 or 1; a grid that goes round the world has no edge east or west."""
     j0 = F.floor(fj).cast("long")
@@ -168,7 +193,7 @@ class RegularGrid:
         return F.when((east > 0) & (west < east), -west).otherwise(fi)
 
     def weights(self, lat: Column, lon: Column) -> Column:
-        return corner_weights(self.column_of(lon), self.row_of(lat), self.ni, self.nj, self.round_the_world)
+        return let(position(self.column_of(lon), self.row_of(lat)), lambda p: corner_weights(p["i"], p["j"], self.ni, self.nj, self.round_the_world))
 
     def inside(self, lat: Column, lon: Column) -> Column:
         fi, fj = self.column_of(lon), self.row_of(lat)
@@ -177,14 +202,9 @@ class RegularGrid:
 
     def nearest(self, lat: Column, lon: Column) -> Column:
         """(d, k, idx, lat, lon) of the nearest of the four points around, the first of equals; for positions inside."""
-        fi, fj = F.floor(self.column_of(lon)).cast("long"), F.floor(self.row_of(lat)).cast("long")
-        tries = []
-        for k, (dj, di) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            j = F.greatest(F.lit(0), F.least(fj + dj, F.lit(self.nj - 1)))
-            i = F.pmod(fi + di, F.lit(self.ni)) if self.round_the_world else F.greatest(F.lit(0), F.least(fi + di, F.lit(self.ni - 1)))
-            y, x = self.latitude(j), self.longitude(i)
-            tries.append(F.struct(haversine(lat, lon, y, x).alias("d"), F.lit(k).alias("k"), (j * self.ni + i).alias("idx"), y.alias("lat"), x.alias("lon")))
-        return F.array_min(F.array(*tries))
+        within = lambda n: lambda x: F.greatest(F.lit(0), F.least(x, F.lit(n - 1)))
+        column = (lambda i: F.pmod(i, F.lit(self.ni))) if self.round_the_world else within(self.ni)
+        return nearest_of_four(position(self.column_of(lon), self.row_of(lat)), within(self.nj), column, lambda j, i: (self.latitude(j), self.longitude(i)), self.ni, lat, lon, ("k",))
 
 
 def rotate(lat: Column, lon: Column, pole_lat: float, pole_lon: float, angle: float = 0.0) -> tuple[Column, Column]:
@@ -267,20 +287,15 @@ class ProjectedGrid:
         return (x - self.corner[0]) / self.dx, (self.corner[1] - y) / self.dy
 
     def weights(self, lat: Column, lon: Column) -> Column:
-        fi, fj = (F.greatest(lit(-1), F.least(f, lit(n))) for f, n in zip(self.position(lat, lon), (self.nx, self.ny), strict=True))
-        return F.when(fi.isNotNull() & fj.isNotNull(), corner_weights(fi, fj, self.nx, self.ny, 0 < self.period and abs(self.period - self.nx) < 1e-3))
+        fi, fj = self.position(lat, lon)
+        around = 0 < self.period and abs(self.period - self.nx) < 1e-3
+        near = lambda f, n: F.greatest(lit(-1), F.least(f, lit(n)))
+        return let(position(fi, fj), lambda p: F.when(p["i"].isNotNull() & p["j"].isNotNull(), corner_weights(near(p["i"], self.nx), near(p["j"], self.ny), self.nx, self.ny, around)))
 
     def nearest(self, lat: Column, lon: Column) -> Column:
         """(d, idx, lat, lon) of the nearest of the four points around, the lowest index of equals; for positions inside."""
-        fi, fj = self.position(lat, lon)
-        tries = []
-        for dj in (0, 1):
-            for di in (0, 1):
-                j = F.greatest(F.lit(0), F.least(F.floor(fj).cast("long") + dj, F.lit(self.ny - 1)))
-                i = F.greatest(F.lit(0), F.least(F.floor(fi).cast("long") + di, F.lit(self.nx - 1)))
-                y, x = self.coordinates(j, i)
-                tries.append(F.struct(haversine(lat, lon, y, x).alias("d"), (j * self.nx + i).alias("idx"), y.alias("lat"), x.alias("lon")))
-        return F.array_min(F.array(*tries))
+        within = lambda n: lambda x: F.greatest(F.lit(0), F.least(x, F.lit(n - 1)))
+        return nearest_of_four(position(*self.position(lat, lon)), within(self.ny), within(self.nx), self.coordinates, self.nx, lat, lon, ("idx",))
 
 
 def mercator(nx: int, ny: int, lat1: float, lon1: float, lad: float, dx: float, dy: float, scan: int = 0x40, orientation: float = 0.0, axes=EARTH_AXES[6]) -> ProjectedGrid:

@@ -508,6 +508,60 @@ def reference_time_valid(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", names.valid_time(*parts).alias("valid_time"), names.reference_time(*parts).alias("normal_time"))
 
 
+# ---- whole messages: written, read and decoded again
+
+VALUES = "(select l_suppkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as idx, case when l_quantity < 48 then l_extendedprice end as value from lineitem)"
+
+
+def supplier_arrays(spark, sf_dir) -> DataFrame:
+    """Each supplier's prices in order as one field, with missing points."""
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_quantity") < 48, F.col("l_extendedprice")).alias("v"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["v"]).alias("values"))
+
+
+def _through_messages(spark, sf_dir, packing, bits_):
+    from isobar.sources import encode, grib2
+
+    files = encode.encode_rows(supplier_arrays(spark, sf_dir), "l_suppkey", packing, bits_)
+    decoded = grib2.decode_fields(grib2.parse_files(files, "FAILFAST"), ("path", "packing_template"))
+    return decoded
+
+
+@query("select l_suppkey, cast(idx as integer) as idx, value from {V}", V=VALUES)
+def message_ieee_roundtrip(spark, sf_dir):
+    """Messages that keep values whole, with a bit map: every point comes back as it was."""
+    from isobar.sources.grib2 import points_of
+
+    return points_of(_through_messages(spark, sf_dir, "ieee", 64)).select(F.col("path").cast("long").alias("l_suppkey"), "idx", "value")
+
+
+def _message_query(packing: str, template: int, bits_: int, reach: int):
+    def f(spark, sf_dir):
+        d = _through_messages(spark, sf_dir, packing, bits_).select(F.col("path").cast("long").alias("l_suppkey"), "packing_template", F.col("values").alias("got"))
+        both = d.join(supplier_arrays(spark, sf_dir), "l_suppkey")
+        errors = F.zip_with("values", "got", lambda a, b: F.abs(a - b))
+        here = F.size(F.filter("got", lambda x: x.isNotNull()))
+        return both.select("l_suppkey", F.col("packing_template").alias("template"), F.size("got").cast("long").alias("n"), here.cast("long").alias("n_present"), (F.array_max(errors) <= float(reach)).alias("within"))
+
+    f.__name__ = f"message_{packing}_roundtrip"
+    query("select l_suppkey, {T} as template, count(*) as n, count(value) as n_present, true as within from {V} group by l_suppkey", T=template, V=VALUES)(f)
+
+
+for _args in (("simple", 0, 16, 2), ("png", 41, 16, 2), ("ccsds", 42, 16, 2), ("complex", 2, 16, 2), ("complex1", 3, 16, 2), ("complex2", 3, 16, 2)):
+    _message_query(*_args)
+
+
+@query("select l_suppkey, 98 as centre, 'European Centre for Medium-Range Weather Forecasts (ECMWF)' as centre_name, 'Temperature' as parameter, 'K' as unit, 2e0 as level, count(*) as n_points from lineitem group by l_suppkey")
+def message_inventory(spark, sf_dir):
+    """What messages are about, without decoding any value."""
+    from isobar.sources import encode, grib2
+
+    f = grib2.parse_files(encode.encode_rows(supplier_arrays(spark, sf_dir), "l_suppkey", "simple", 12), data=False)
+    n = grib2.number
+    named = f.select(F.col("path").cast("long").alias("l_suppkey"), n("identification", "centre").cast("int").alias("centre"), "discipline", n("product", "category").cast("int").alias("category"), n("product", "number").cast("int").alias("number"), names.surface_value(n("product", "surface1_scale"), n("product", "surface1_value")).alias("level"), "n_points")
+    return names.with_parameter(names.with_name(named, "centre", "centre", "centre_name")).select("l_suppkey", "centre", "centre_name", "parameter", "unit", "level", "n_points")
+
+
 # ---- statistics and the relational surface
 
 
