@@ -1,4 +1,4 @@
-"""The packings of data representation templates 5.0, 5.2, 5.3, 5.4, 5.41, 5.42 and 5.200.
+"""The packings of data representation templates 5.0, 5.2, 5.3, 5.4, 5.40, 5.41, 5.42 and 5.200.
 
 Each ``unpack`` takes the bytes of a data section, the template's numbers by name and the count of values, and returns doubles in data order, missing points as NaN.
 """
@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 
-from isobar.codecs import aec
+from isobar.codecs import aec, j2k
 from isobar.codecs.bitio import packed, put, take
 from isobar.codecs.scaling import PackingError, Scale, check_count, choose
 
@@ -368,12 +368,38 @@ def pack_ccsds(values: np.ndarray, bits: int, block: int = 32, rsi: int = 128) -
     return (aec.encode(s.integers(values), s.bits, block, rsi, more["flags"]) if s.bits else b""), template(s, **more)
 
 
-UNPACK = {0: unpack_simple, 2: unpack_complex, 3: unpack_complex, 4: unpack_ieee, 41: unpack_png, 42: unpack_ccsds, 200: unpack_run_length}
+# ---- JPEG 2000
+
+
+def unpack_jpeg2000(data: bytes, t: dict, n: int) -> np.ndarray:
+    """No bits: the reference as it is."""
+    check_count(n)
+    s = scale_of(t)
+    if s.bits == 0:
+        return np.full(n, s.reference)
+    if not data:
+        raise PackingError("no octets for a field that varies")
+    x = j2k.decode(data).ravel()
+    if len(x) < n:
+        raise PackingError("the image is smaller than the field")
+    return s.values(x[:n])
+
+
+def pack_jpeg2000(values: np.ndarray, bits: int) -> tuple[bytes, dict]:
+    """The field as one row. A constant field's reference is the nearest single-precision number."""
+    s = choose(values, bits, 30)
+    more = {"compression": 0, "ratio": 255}
+    if not s.bits:
+        return b"", template(Scale(float(np.float32(values[0]))) if len(values) else s, **more)
+    return j2k.encode(s.integers(values).reshape(1, -1), s.bits), template(s, **more)
+
+
+UNPACK = {0: unpack_simple, 2: unpack_complex, 3: unpack_complex, 4: unpack_ieee, 40: unpack_jpeg2000, 41: unpack_png, 42: unpack_ccsds, 200: unpack_run_length}
 
 
 def unpack(number: int, data: bytes, t: dict, n: int) -> np.ndarray:
     """The values of a data section by its template number."""
-    number = 41 if number == 41000 else number
+    number = {40000: 40, 41000: 41}.get(number, number)
     if number not in UNPACK:
         raise PackingError(f"data representation template {number} is not supported")
     return UNPACK[number](data, t, n)

@@ -547,7 +547,7 @@ def _message_query(packing: str, template: int, bits_: int, reach: int):
     query("select l_suppkey, {T} as template, count(*) as n, count(value) as n_present, true as within from {V} group by l_suppkey", T=template, V=VALUES)(f)
 
 
-for _args in (("simple", 0, 16, 2), ("png", 41, 16, 2), ("ccsds", 42, 16, 2), ("complex", 2, 16, 2), ("complex1", 3, 16, 2), ("complex2", 3, 16, 2)):
+for _args in (("simple", 0, 16, 2), ("png", 41, 16, 2), ("ccsds", 42, 16, 2), ("jpeg2000", 40, 16, 2), ("complex", 2, 16, 2), ("complex1", 3, 16, 2), ("complex2", 3, 16, 2)):
     _message_query(*_args)
 
 

@@ -36,6 +36,8 @@ def packed_sections(values: np.ndarray, packing: str, bits: int, shape: tuple[in
         number, (data, t) = 0, packings.pack_simple(v, bits) if len(v) else (b"", packings.template(packings.Scale()))
     elif packing == "ieee":
         number, (data, t) = 4, packings.pack_ieee(v, 2 if bits > 32 else 1)
+    elif packing == "jpeg2000":
+        number, (data, t) = 40, packings.pack_jpeg2000(v, bits)
     elif packing == "png":
         number, (data, t) = 41, packings.pack_png(v, bits, max(len(v), 1), 1)
     elif packing == "ccsds":

@@ -59,7 +59,7 @@ def test_constants_and_quirks():
     assert p.unpack_simple(b"", t, 3).tolist() == [5.0] * 3 and p.unpack_ccsds(b"", t, 2).tolist() == [5.0] * 2 and p.unpack_png(b"", t, 1).tolist() == [5.0]
     assert p.unpack_complex(b"", {**t, "groups": 0}, 2).tolist() == [0.5, 0.5]
     assert p.unpack_ccsds(b"", {**t, "bits": 8}, 2).tolist() == [0.5, 0.5]
-    for bad in (lambda: p.unpack_simple(b"", {**t, "bits": 64}, 1), lambda: p.unpack_simple(b"a", {**t, "bits": 16}, 1), lambda: p.pack_simple([np.inf, 1], 8), lambda: p.pack_simple([1, 2], 0), lambda: p.unpack(40, b"", t, 1), lambda: p.unpack_ieee(b"", {"precision": 3}, 1)):
+    for bad in (lambda: p.unpack_simple(b"", {**t, "bits": 64}, 1), lambda: p.unpack_simple(b"a", {**t, "bits": 16}, 1), lambda: p.pack_simple([np.inf, 1], 8), lambda: p.pack_simple([1, 2], 0), lambda: p.unpack(61, b"", t, 1), lambda: p.unpack_ieee(b"", {"precision": 3}, 1)):
         with pytest.raises(PackingError):
             bad()
     assert single_at_or_below(0.1) <= 0.1 < float(np.nextafter(np.float32(single_at_or_below(0.1)), np.float32(1)))
