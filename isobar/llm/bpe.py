@@ -30,7 +30,7 @@ from isobar.llm.textarrays import Texts, chunks, range_hashes, runs
 PROBED = 0x3000
 LETTER, DIGIT, OTHER, SPACE, UNSAFE = 0, 1, 2, 3, 4
 #: Distinct words that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: The contractions that the pre-tokenizer splits off, in the order in which it tries them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Stands for the end-of-word suffix within a word; no byte-level symbol.

@@ -17,7 +17,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Code points that one chunk holds, unless a single text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class Texts:
@@ -52,6 +52,23 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK) -> Iter
         if hi > lo:
             part = batch.slice(lo, hi - lo)
             yield part, Texts(part.column(part.schema.get_field_index(text)))
+    release()
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the system: a worker outlives its tasks, and the next operator needs the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc(), "malloc_trim", None):
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc() -> object:
+    import ctypes
+    import ctypes.util
+
+    name = ctypes.util.find_library("c")
+    return ctypes.CDLL(name) if name else None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
