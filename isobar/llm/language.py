@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobar.llm.shared import keep_hash
+from isobar.llm.shared import keep_hash, small_or_not, written
 from isobar.llm.textarrays import Texts, chunks
 
 ORDER = 3
@@ -127,7 +127,7 @@ def fit(documents: DataFrame, learn: Column, doc_id: str = "doc_id", text: str =
                 for lo, hi, x, _ in presence(texts):
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), part.column(1).slice(lo, hi - lo), pa.array([np.packbits(r > 0).tobytes() for r in x], pa.binary())], names=schema.fieldNames())
 
-    thinned = rows.join(limits, "lang").where("h <= limit").select("lang", "h", "text").mapInArrow(run, schema)
+    thinned = rows.join(small_or_not(written(limits)), "lang").where("h <= limit").select("lang", "h", "text").mapInArrow(run, schema)
     # Of many texts with one hash (repeated ids) the presence decides, so the order is fixed.
     from pyspark.sql import Window
 
