@@ -32,7 +32,9 @@ def nearest_brute(queries: DataFrame, points: DataFrame, key: list[str], n_point
     if n_points > GRID_LIMIT:
         raise ValueError(f"a grid of {n_points} points is too large to be searched by brute force")
     d = F.round(haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")), DECIMALS)
-    near = queries.join(F.broadcast(points.select("idx", "lat", "lon")), F.lit(True)).groupBy(*key).agg(F.min(F.struct(d.alias("distance"), "idx", "lat", "lon")).alias("near"))
+    # Dealt out by key first: few files would make few tasks, and the aggregation below needs no other shuffle.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = queries.repartition(parts, *key).join(F.broadcast(points.select("idx", "lat", "lon")), F.lit(True)).groupBy(*key).agg(F.min(F.struct(d.alias("distance"), "idx", "lat", "lon")).alias("near"))
     return near.select(*key, "near.idx", "near.lat", "near.lon", "near.distance")
 
 
