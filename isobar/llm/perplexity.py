@@ -4,12 +4,17 @@ A modified Kneser-Ney model of ``ORDER`` characters is counted over all document
 broadcast. Characters fall into ``CLASSES`` classes, so there are at most ``CLASSES ** ORDER`` n-grams however large the corpus: counts and model have a proven bound
 of some 200 MB, in practice a few. Texts whose perplexity lies outside the band of their language are rejected. A band reaches ``REACH`` interquartile ranges beyond the quartiles of
 the logarithms of all documents of the language.
+
+Characters in classes say nothing about the order of words, nor about letters beyond Latin-1. So pairs of hashed words are counted too, over all documents; their number grows with the corpus, so counts,
+probabilities and scores stay tables that are joined by shuffles, never broadcast or collected. Each occurrence is scored without itself (leave one out), as a text would else make its own words likely. Of the
+band of words only the upper end rejects: texts that are too likely are copies, which other operators deal with.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobar.llm.shared import small_or_not, written
-from isobar.llm.textarrays import Texts, chunks, counts_by_doc, mix, range_hashes, runs, shingles, sums_by_doc
+from isobar.llm.textarrays import Texts, ascii_word_table, chunks, counts_by_doc, mix, range_hashes, runs, shingles, sums_by_doc
 
 ORDER = 4
 BITS = 6
@@ -27,6 +32,12 @@ CLASSES = 1 << BITS
 REACH = 3.0
 #: A language of fewer documents gets the band of all documents.
 LEAST_DOCS = 50
+#: What Kneser-Ney takes off each count of a pair of words.
+DISCOUNT = 0.75
+#: Scripts written without spaces, of which each character counts as a word: from Thai to Lao, Myanmar, Khmer, and CJK, kana, Hangul and what follows.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x110000))
+#: Spaces and punctuation beyond ASCII.
+BETWEEN = ((0x80, 0xA1), (0x2000, 0x2070), (0x3000, 0x3004), (0xFF01, 0xFF10))
 #: Steps of the logarithm of perplexity at which quartiles are taken.
 STEP = 1 / 1024
 #: Characters that count as symbols.
@@ -143,10 +154,109 @@ class KneserNey:
         return np.log(p)
 
 
-def fit(documents: DataFrame, text: str = "text") -> KneserNey:
+def within(cp: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    out = np.zeros(len(cp), bool)
+    for low, high in ranges:
+        out |= (cp >= low) & (cp < high)
+    return out
+
+
+def word_pairs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's words after the words before them, as hashes (0 before the first), and the text of each."""
+    cp = texts.cp
+    worded = ascii_word_table()[np.minimum(cp, 0xFF)] & ~within(cp, BETWEEN)
+    alone = worded & within(cp, UNSPACED)
+    start, end = runs(worded & ~alone, texts.at)
+    single = np.flatnonzero(alone)
+    start, end = np.concatenate([start, single]), np.concatenate([end, single + 1])
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    lowered = cp + (((cp >= 0x41) & (cp <= 0x5A)).astype(np.uint32) << 5)
+    word = range_hashes(lowered, start, end)
+    doc = texts.doc_of(start)
+    before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])[: len(word)]
+    before[np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []] = 0
+    return before, word, doc
+
+
+def pair_rows(rows: DataFrame) -> DataFrame:
+    """(tie, v, w, n): the distinct pairs of words of each text, with their number; from (tie, text)."""
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("tie", "v", "w")] + [T.StructField("n", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                v, w, doc = word_pairs(texts)
+                # A pair in a text by one number, to sort once.
+                name = mix(mix(v) + w) ^ mix(doc.astype(np.uint64) + np.uint64(1))
+                _, at, n = np.unique(name, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[at])), pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int32))], names=schema.fieldNames())
+
+    return rows.select("tie", "text").mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class WordPairs:
+    """The counts of pairs of words, as written tables: (v, w, c), of first words (v, cv, tv: occurrences and kinds of followers) and of second words (w, tw: kinds of words before), with the
+    numbers of kinds of pairs and words. ``source`` is what they were counted in."""
+
+    source: DataFrame
+    pairs: DataFrame
+    firsts: DataFrame
+    seconds: DataFrame
+    n_pairs: int
+    n_words: int
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """(v, w, s) of (v, w, c): the steps of the negative logarithm of w's probability after v, by interpolated Kneser-Ney, one occurrence left out; c is null for pairs not met."""
+        c, cv, tv, tw = (F.coalesce(F.col(x), F.lit(0)) for x in ("c", "cv", "tv", "tw"))
+        last = F.when(c == 1, 1).otherwise(0)
+        kinds = F.greatest(F.lit(self.n_pairs) - last, F.lit(1))
+        lower = F.greatest(tw - last - DISCOUNT, F.lit(0.0)) / kinds + DISCOUNT * self.n_words / kinds / (self.n_words + 1)
+        # Without pairs at all every word is unknown, and as likely.
+        lower = F.when(F.lit(self.n_pairs) > 0, lower).otherwise(F.lit(1.0))
+        total = cv - F.when(c > 0, 1).otherwise(0)
+        p = F.when(total > 0, F.greatest(c - 1 - DISCOUNT, F.lit(0.0)) / total + F.least(DISCOUNT * F.greatest(tv - last, F.lit(1)) / total, F.lit(1.0)) * lower).otherwise(lower)
+        joined = pairs.join(self.firsts.hint("merge"), "v", "left").join(self.seconds.hint("merge"), "w", "left")
+        return joined.select("v", "w", F.round(-F.log(p) / STEP).cast("long").alias("s"))
+
+    def perplexities(self, documents: DataFrame, text: str) -> DataFrame:
+        """(tie, word_log_ppl) of the texts with words."""
+        found = pair_rows(texts_of(documents, text))
+        table = self.scored(self.pairs)
+        if documents is not self.source:
+            # Other texts may have pairs that were not counted.
+            new = found.select("v", "w").distinct().join(self.pairs, ["v", "w"], "left_anti").withColumn("c", F.lit(None).cast("long"))
+            table = table.unionByName(self.scored(new))
+        # Of rows that share their text sums and numbers are as many times as high.
+        sums = found.join(table.hint("merge"), ["v", "w"]).groupBy("tie").agg(F.sum(F.col("s") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+        return sums.select("tie", (F.round(F.col("s") / F.col("n")) * STEP).alias("word_log_ppl"))
+
+
+def texts_of(documents: DataFrame, text: str) -> DataFrame:
+    """(tie, text); the tie names the text."""
+    rows = documents.select(documents[text].cast("string").alias("text"))
+    return rows.select(F.xxhash64("text").alias("tie"), "text")
+
+
+def fit_words(documents: DataFrame, text: str = "text") -> WordPairs:
+    """All pairs of words, counted. Only the numbers of kinds reach the driver."""
+    pairs = written(pair_rows(texts_of(documents, text)).groupBy("v", "w").agg(F.sum("n").alias("c")))
+    firsts = written(pairs.groupBy("v").agg(F.sum("c").alias("cv"), F.count("*").alias("tv")))
+    seconds = written(pairs.groupBy("w").agg(F.count("*").alias("tw")))
+    return WordPairs(documents, pairs, firsts, seconds, pairs.count(), seconds.count())
+
+
+@dataclass(frozen=True)
+class Model:
+    characters: KneserNey
+    words: WordPairs
+
+
+def fit(documents: DataFrame, text: str = "text") -> Model:
     """The model of all texts. What reaches the driver are the sums for each n-gram of classes, of which there are a bounded number."""
     found = count_grams(documents.select(documents[text].cast("string").alias("text"))).toArrow()
-    return KneserNey(found.column("code").to_numpy(), found.column("n").to_numpy())
+    return Model(KneserNey(found.column("code").to_numpy(), found.column("n").to_numpy()), fit_words(documents, text))
 
 
 def base_counts(texts: Texts) -> dict[str, np.ndarray]:
@@ -188,10 +298,10 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 def measured(rows: DataFrame, model: KneserNey) -> DataFrame:
-    """Adds the counts and ``log_ppl`` (null for texts without characters) to (id, lang, text), and drops the text."""
+    """Adds the counts and ``log_ppl`` (null for texts without characters) to (id, lang, tie, text), and drops the text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(x, T.LongType()) for x in names], T.StructField("log_ppl", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:3], *[T.StructField(x, T.LongType()) for x in names], T.StructField("log_ppl", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -210,15 +320,15 @@ def measured(rows: DataFrame, model: KneserNey) -> DataFrame:
                 log_ppl = -(sums[texts.at[1:]] - sums[texts.at[:-1]]) / np.maximum(length, 1)
                 # Rounded to steps, so that sums in another order give the same.
                 log_ppl = np.round(log_ppl / STEP) * STEP
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array(counts[x]) for x in names], pa.array(log_ppl, mask=length == 0)], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(counts[x]) for x in names], pa.array(log_ppl, mask=length == 0)], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """(lang, low, high) from (lang, log_ppl): exact quartiles of all documents by a histogram of the steps, which is small whatever the corpus. A row with null ``lang`` and
+def bands(rows: DataFrame, of: str = "log_ppl") -> DataFrame:
+    """(lang, low, high) from (lang, ``of``): exact quartiles of all documents by a histogram of the steps, which is small whatever the corpus. A row with null ``lang`` and
     ``whole`` true stands for all documents."""
-    steps = rows.where("log_ppl is not null").withColumn("step", F.round(F.col("log_ppl") / STEP).cast("long")).groupBy("lang", "step").agg(F.count("*").alias("n"))
+    steps = rows.where(F.col(of).isNotNull()).withColumn("step", F.round(F.col(of) / STEP).cast("long")).groupBy("lang", "step").agg(F.count("*").alias("n"))
     both = steps.withColumn("whole", F.lit(False)).unionByName(steps.select(F.lit(None).cast("string").alias("lang"), "step", "n", F.lit(True).alias("whole")).groupBy("lang", "step", "whole").agg(F.sum("n").alias("n")))
     w = Window.partitionBy("whole", "lang")
     ranked = both.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("total", F.sum("n").over(w))
@@ -229,19 +339,21 @@ def bands(rows: DataFrame) -> DataFrame:
     return q.select("whole", "lang", "docs", (F.col("q1") - REACH * spread).alias("low"), (F.col("q3") + REACH * spread).alias("high"))
 
 
-def judge_quality(documents: DataFrame, model: KneserNey, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def judge_quality(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """For every document ``doc_id``, the counts ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``, ``base_failed`` (fewer than 50 words, or over half of
-    them in repeated windows), ``perplexity`` and ``kept``.
+    them in repeated windows), ``perplexity`` (of characters), ``kept`` and ``word_perplexity`` (of words after the word before; null without words).
 
     Words lie between ASCII white space. A null or empty text has no words and a null perplexity, and fails. ``kept`` is false where ``base_failed``, else whether the perplexity lies in the band of the
-    document's language; a null language, and one of fewer than ``LEAST_DOCS`` documents, has the band of all documents. Repeated rows count as so many documents; empty tables give empty results; other columns are not read.
+    document's language and that of words not above its own band; a null language, and one of fewer than ``LEAST_DOCS`` documents, has the band of all documents. Repeated rows count as so many documents; empty tables give empty results; other columns are not read.
     """
-    rows = documents.select(documents[doc_id].alias("id"), documents[lang].cast("string").alias("lang"), documents[text].cast("string").alias("text"))
-    out = written(measured(rows, model))
-    limits = written(bands(out))
-    own = limits.where(f"not whole and docs >= {LEAST_DOCS}").select("lang", "low", "high")
-    everything = limits.where("whole").select(F.col("low").alias("low_all"), F.col("high").alias("high_all"), F.lit(1).alias("one"))
-    joined = out.join(small_or_not(own), "lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(everything), "one", "left")
+    rows = documents.select(documents[doc_id].alias("id"), documents[lang].cast("string").alias("lang"), F.xxhash64(documents[text].cast("string")).alias("tie"), documents[text].cast("string").alias("text"))
+    words = written(model.words.perplexities(documents, text))
+    joined = written(measured(rows, model.characters).join(small_or_not(words), "tie", "left"))
+    for of, names in (("log_ppl", ("low", "high")), ("word_log_ppl", ("word_low", "word_high"))):
+        limits = written(bands(joined, of).withColumnsRenamed(dict(zip(("low", "high"), names, strict=True))))
+        own = limits.where(f"not whole and docs >= {LEAST_DOCS}").select("lang", *names)
+        everything = limits.where("whole").select(*[F.col(x).alias(f"{x}_all") for x in names], F.lit(1).alias("one"))
+        joined = joined.join(small_or_not(own), "lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(everything), "one", "left").drop("one")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.col("log_ppl").between(F.coalesce("low", "low_all"), F.coalesce("high", "high_all"))
-    return joined.select(F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), F.exp("log_ppl").alias("perplexity"))
+    inside = F.col("log_ppl").between(F.coalesce("low", "low_all"), F.coalesce("high", "high_all")) & F.coalesce(F.col("word_log_ppl") <= F.coalesce("word_high", "word_high_all"), F.lit(True))
+    return joined.select(F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("word_log_ppl").alias("word_perplexity"))

@@ -68,6 +68,45 @@ def test_rules(spark):
     assert perplexity.judge_quality(docs.limit(0), perplexity.fit(docs.limit(0))).count() == 0
 
 
+def test_order_of_words(spark):
+    """Shuffled words and one repeated letter have the characters of a good text, but not its pairs of words."""
+    rng = np.random.default_rng(7)
+    follow = rng.integers(0, 120, (120, 5))
+
+    def walk(word, n=150):
+        out, k = [], int(rng.integers(120))
+        for _ in range(n):
+            out.append(word(k))
+            k = int(follow[k, rng.integers(5)])
+        return out
+
+    latin = lambda k: "".join("aeioubdgklmnprst"[(k * 7 + j * j * (k + 3)) % 16] for j in range(3 + k % 5)) + "xyz"[k % 3]
+    greek = lambda k: "".join(chr(0x3B1 + (k * 7 + j * j * (k + 3)) % 16) for j in range(3 + k % 5)) + chr(0x3C3 + k % 3)
+    rows = [(i, "en", " ".join(walk(latin))) for i in range(120)] + [(200 + i, "el", " ".join(walk(greek))) for i in range(120)]
+    mixed = walk(latin)
+    rng.shuffle(mixed)
+    rows += [(500, "en", " ".join(mixed)), (501, "el", " ".join("α" * len(x) for x in walk(greek)) + " β")]
+    wild = walk(greek)
+    rng.shuffle(wild)
+    rows += [(502, "el", " ".join(wild)), (503, "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in perplexity.judge_quality(docs, perplexity.fit(docs)).collect()}
+    assert len(got) == len(rows) and np.mean([got[i].kept for i in [*range(120), *range(200, 320)]]) > 0.98
+    assert not any(got[i].kept for i in (500, 501, 502, 503)) and not got[500].base_failed and not got[502].base_failed
+    assert got[503].word_perplexity is None
+    # The same texts, read apart from those that were counted, fare alike; new pairs count as unseen.
+    apart = {r.doc_id: r.word_perplexity for r in perplexity.judge_quality(docs.where("doc_id < 503"), perplexity.fit(docs)).collect()}
+    assert all(apart[i] == got[i].word_perplexity for i in apart)
+    other = perplexity.judge_quality(docs, perplexity.fit(docs.where("doc_id < 200"))).where("doc_id in (5, 210)").orderBy("doc_id").collect()
+    assert other[0].word_perplexity < other[1].word_perplexity
+
+
+def test_pairs_by_definition():
+    v, w, doc = perplexity.word_pairs(Texts(pa.array(["The cat, the CAT", "日本 x", None, "ไทย"])))
+    assert doc.tolist() == [0, 0, 0, 0, 1, 1, 1, 3, 3, 3] and v[0] == v[4] == v[7] == 0
+    assert w[0] == w[2] == v[1] and w[1] == w[3] == v[2] and v[5] == w[4] and len(set(w.tolist())) == 8
+
+
 @tables
 def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
