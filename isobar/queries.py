@@ -282,6 +282,13 @@ def unrotate_roundtrip(spark, sf_dir):
     return places(spark, sf_dir).where("abs(q_lat) < 85 and abs(q_lon - 180) > 1").select("event_id", digits(lat, 4).alias("lat"), digits(lon, 4).alias("lon"))
 
 
+@query("select event_id, round(q_lat, 4) as lat, round(q_lon, 4) as lon from {P}", P=PLACES)
+def unrotate_roundtrip_all(spark, sf_dir):
+    """Every position, with poles and date line, there and back. Longitudes lie within [0, 360), as 180 and -180 are the same."""
+    lat, lon = geo.unrotate(*geo.rotate(F.col("q_lat"), F.col("q_lon"), **ROTATED), **ROTATED)
+    return places(spark, sf_dir).select("event_id", digits(lat, 4).alias("lat"), digits(geo.into_circle(F.round(lon, 4)), 4).alias("lon"))
+
+
 LAMBERT = geo.lambert(1799, 1059, 21.138123, 237.280472, 262.5, 38.5, 38.5, 38.5, 3000.0, 3000.0)
 POLAR = geo.polar_stereographic(1299, 919, 41.612949, 185.117126, 225.0, 60.0, 3000.0, 3000.0)
 MERCATOR = geo.mercator(200, 150, -20.0, 230.0, 20.0, 50000.0, 50000.0)
@@ -299,6 +306,18 @@ def lambert_forward(spark, sf_dir):
     return places(spark, sf_dir).where(NEAR_LAMBERT).select("event_id", digits(fi, 6).alias("col"), digits(fj, 6).alias("row"))
 
 
+#: What is left of a longitude's distance from the meridian {M} after the nearest number of turns.
+TURNED_SQL = "(q_lon - {M} - 360e0 * round_even((q_lon - {M}) / 360e0, 0))"
+
+
+@query("with " + LAMBERT_SQL + """ select event_id, round((size * power(tan(radians((90e0 - q_lat) / 2)), n) * sin(n * radians({T})) - x0) / 3000e0, 6) as col,
+round(1058 - (mid - size * power(tan(radians((90e0 - q_lat) / 2)), n) * cos(n * radians({T})) - y0) / 3000e0, 6) as row from {P} p, o""", T=TURNED_SQL.replace("{M}", "262.5e0"), P=PLACES)
+def lambert_forward_all(spark, sf_dir):
+    """Every position, beyond the seam of the cone and in the other hemisphere too."""
+    fi, fj = LAMBERT.position(F.col("q_lat"), F.col("q_lon"))
+    return places(spark, sf_dir).select("event_id", digits(fi, 6).alias("col"), digits(fj, 6).alias("row"))
+
+
 @query("with " + LAMBERT_SQL + """, c as (select row * 25 + col as idx, x0 + col * 3000e0 * 70 as px, mid - y0 - (1058 - row * 40) * 3000e0 as py, n, size from {CELLS}, o)
 select idx, round(90e0 - 2 * degrees(atan(power(sqrt(px * px + py * py) / size, 1 / n))), 7) as lat, round((degrees(atan2(px, py) / n) + 262.5e0) % 360e0, 7) as lon from c""", CELLS=CELLS)
 def lambert_inverse(spark, sf_dir):
@@ -316,6 +335,14 @@ def polar_forward(spark, sf_dir):
     return places(spark, sf_dir).where("q_lat > 0").select("event_id", digits(fi, 5).alias("col"), digits(fj, 5).alias("row"))
 
 
+@query("with " + POLAR_SQL + """ select event_id, round((s * tan(radians((90e0 - q_lat) / 2)) * sin(radians({T})) - x0) / 3000e0, 5) as col,
+round(918 - (-s * tan(radians((90e0 - q_lat) / 2)) * cos(radians({T})) - y0) / 3000e0, 5) as row from {P} p, o""", T=TURNED_SQL.replace("{M}", "225e0"), P=PLACES)
+def polar_forward_all(spark, sf_dir):
+    """Every position; only the other pole itself has no place."""
+    fi, fj = POLAR.position(F.col("q_lat"), F.col("q_lon"))
+    return places(spark, sf_dir).select("event_id", digits(fi, 5).alias("col"), digits(fj, 5).alias("row"))
+
+
 @query("with " + POLAR_SQL + """, c as (select row * 25 + col as idx, x0 + col * 50 * 3000e0 as px, y0 + (918 - row * 37) * 3000e0 as py, s from {CELLS}, o)
 select idx, round(90e0 - 2 * degrees(atan(sqrt(px * px + py * py) / s)), 7) as lat, round((degrees(atan2(px, -py)) + 225e0 + 360e0) % 360e0, 7) as lon from c""", CELLS=CELLS)
 def polar_inverse(spark, sf_dir):
@@ -332,6 +359,14 @@ def mercator_forward(spark, sf_dir):
     return places(spark, sf_dir).where("abs(q_lat) < 80 and q_lon > 160").select("event_id", digits(fi, 6).alias("col"), digits(fj, 6).alias("row"))
 
 
+@query("with " + MERCATOR_SQL + """, c as (select event_id, q_lat, u, y0, u * radians(q_lon - 230e0) as x, 199 * 50000e0 / 2 as mid, 2 * pi() * u as turn from {P} p, o)
+select event_id, round((x - turn * round_even((x - mid) / turn, 0)) / 50000e0, 6) as col, round(149 - (-u * ln(tan(radians((90e0 - q_lat) / 2))) - y0) / 50000e0, 6) as row from c""", P=PLACES)
+def mercator_forward_all(spark, sf_dir):
+    """Every position, at the place of its meridian that is nearest to the middle of the grid."""
+    fi, fj = MERCATOR.position(F.col("q_lat"), F.col("q_lon"))
+    return places(spark, sf_dir).select("event_id", digits(fi, 6).alias("col"), digits(fj, 6).alias("row"))
+
+
 @query("with " + MERCATOR_SQL + """ select row * 25 + col as idx, round(90e0 - 2 * degrees(atan(exp(-((149 - row * 6) * 50000e0 + y0) / u))), 7) as lat, round((230e0 + degrees(col * 8 * 50000e0 / u)) % 360e0, 7) as lon from {CELLS}, o""", CELLS=CELLS)
 def mercator_inverse(spark, sf_dir):
     lat, lon = MERCATOR.coordinates(F.col("row") * 6, F.col("col") * 8)
@@ -408,6 +443,13 @@ def nearest_corner(spark, sf_dir):
     return w.where("abs(w.xf - 0.5) > 1e-6 and abs(w.yf - 0.5) > 1e-6").select("event_id", geo.nearest_corner(F.col("w")).alias("idx"))
 
 
+@query("with " + FRACTIONS + " select event_id, case when round((1 - xf) * (1 - yf), 9) >= round(greatest(xf * (1 - yf), (1 - xf) * yf, xf * yf), 9) then j0 * 25 + i0 when round(xf * (1 - yf), 9) >= round(greatest((1 - xf) * yf, xf * yf), 9) then j0 * 25 + i0 + 1 when round((1 - xf) * yf, 9) >= round(xf * yf, 9) then j0 * 25 + 25 + i0 else j0 * 25 + 26 + i0 end as idx from w", P=PLACES)
+def nearest_corner_all(spark, sf_dir):
+    """Every position: of equal weights the first counts."""
+    w = places(spark, sf_dir).select("event_id", REGULAR.weights(F.col("q_lat"), F.col("q_lon")).alias("w"))
+    return w.select("event_id", geo.nearest_corner(F.col("w")).alias("idx"))
+
+
 @query("with " + FRACTIONS + " select event_id, j0 * 25 + i0 as i00, round(xf, 7) as xf, round(yf, 7) as yf, outside from w", P=PLACES)
 def weights_outside(spark, sf_dir):
     w = places(spark, sf_dir).select("event_id", REGULAR.weights(F.col("q_lat"), F.col("q_lon")).alias("w"))
@@ -432,6 +474,12 @@ def grid_north_lambert(spark, sf_dir):
     return places(spark, sf_dir).where("q_lon between 83 and 442").select("event_id", digits(LAMBERT.grid_north(F.col("q_lat"), F.col("q_lon")), 9).alias("north"))
 
 
+@query("select event_id, round(sin(radians(38.5e0)) * radians({T}), 9) as north from {P}", T=TURNED_SQL.replace("{M}", "262.5e0"), P=PLACES)
+def grid_north_lambert_all(spark, sf_dir):
+    """At every position, by the nearest turn to the cone's meridian."""
+    return places(spark, sf_dir).select("event_id", digits(LAMBERT.grid_north(F.col("q_lat"), F.col("q_lon")), 9).alias("north"))
+
+
 ROTATED_NORTH = "atan2(sin(radians(87.597031e0) - radians(q_lon)) * cos(radians(31.758312e0)), cos(radians(q_lat)) * sin(radians(31.758312e0)) - sin(radians(q_lat)) * cos(radians(31.758312e0)) * cos(radians(87.597031e0) - radians(q_lon)))"
 
 
