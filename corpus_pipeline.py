@@ -21,8 +21,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their source's boilerplate lines; ``n_chars`` is counted anew."""
-    return drop_boilerplate(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+    """The documents without their source's boilerplate lines; ``n_chars`` is counted anew. Sources of few pages have boilerplate too: two pages suffice beside the ratio."""
+    return drop_boilerplate(docs, min_pages=2).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Line dedup and substring dedup against brute force."""
 
+import os
 import re
 
+import pytest
+
 from isobar.llm.lines import drop_boilerplate
+from isobar.llm.queries import ORACLES, QUERIES
 from isobar.llm.substrings import remove_repeats
+from oracle import SF, differences
 
 LONG = "one two three four five six"
 DOCS = [
@@ -55,6 +60,22 @@ def test_boilerplate(spark):
     assert drop_boilerplate(frame(spark, rows), max_ratio=0.5).columns == ["doc_id", "text", "source", "kept", "n_lines", "n_dropped"]
 
 
+def test_small_hosts(spark):
+    """The ratio decides for hosts of few pages; a line on one page is never boilerplate."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"foot\nown {i}", "four") for i in range(4)] + [(10 + i, f"foot\nown {i}" if i < 2 else f"own {i}", "thirty") for i in range(30)] + [(50, "all\nall", "one")]
+    docs = spark.createDataFrame([(*r, "en", 5) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.dedup_lines(spark, docs, "").collect()}
+    assert [got[i] for i in range(4)] == [f"own {i}" for i in range(4)] and got[10] == "foot\nown 0" and got[50] == "all\nall"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are absent")
+def test_oracle_where_lines_are_dropped(spark):
+    query = QUERIES["op4_line_dedup_every_host"]
+    assert query(spark, SF).where("n_dropped > 0").count() > 0
+    assert differences(spark, query, ORACLES["op4_line_dedup_every_host"]) == []
+
+
 def test_empty(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
     assert drop_boilerplate(frame(spark, [])).count() == 0
