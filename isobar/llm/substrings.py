@@ -20,6 +20,8 @@ from isobar.llm.textarrays import Texts, chunks, mix, range_hashes, runs
 
 #: Lines of fewer words are left alone: they recur by chance.
 MIN_WORDS = 5
+#: Scripts written without spaces, of which each character counts as a word: from Thai to Lao, Myanmar, Khmer, and CJK, kana, Hangul and what follows.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3000), (0x3004, 0xFF00), (0xFF10, 0x110000))
 
 
 def lines_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,10 +35,14 @@ def lines_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def line_digests(texts: Texts, start: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits for each normalised line, and which lines have ``min_words`` words."""
+    """128 bits for each normalised line, and which lines have ``min_words`` words; each character of an unspaced script is one."""
     cp = texts.cp
     space = (cp == 0x20) | ((cp >= 9) & (cp <= 13))
-    word_start, _ = runs(~space, texts.at)
+    alone = np.zeros(len(cp), bool)
+    for low, high in UNSPACED:
+        alone |= (cp >= low) & (cp < high)
+    # Words begin after white space, and each character that stands alone is one beside those of spaced scripts.
+    word_start = np.sort(np.concatenate([runs(~space & ~alone, texts.at)[0], np.flatnonzero(alone)])) if alone.any() else runs(~space, texts.at)[0]
     words = np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
     # White space stays where it follows a word of the same line and, as one space, precedes another.
     keep = ~space
@@ -76,7 +82,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """For every document: ``doc_id``, ``n_units`` (lines), ``n_removed``, ``spans`` (start and end offsets in code points of the removed lines in the original text,
     in order) and ``text`` (the other lines, joined by newlines).
 
-    Lines of fewer than ``min_words`` words stay. A null text stays null and has no lines. Rows are ranked by id (null last), then, if they share an id, by a hash of
+    Lines of fewer than ``min_words`` words stay; words lie between white space, and each character of a script written without spaces is one. A null text stays null and has no lines. Rows are ranked by id (null last), then, if they share an id, by a hash of
     the text; rows with the same id and text are the same document read twice and fare alike. Empty tables give empty results; other columns are not read.
 
     A line that very many documents share meets in one group only as a count and a least rank, summed up before the shuffle; it is then looked up in an inner join, whose skew the

@@ -60,6 +60,14 @@ def test_boilerplate(spark):
     assert drop_boilerplate(frame(spark, rows), max_ratio=0.5).columns == ["doc_id", "text", "source", "kept", "n_lines", "n_dropped"]
 
 
+def test_repeats_in_unspaced_scripts(spark):
+    lines = ["版权所有翻印必究", "すべての権利を保有する", "สงวนลิขสิทธิ์ทุกประการ", "全角　空白の行"]
+    rows = [(i, "\n".join([*lines, f"own words of text {i}", "再见"]), "h") for i in range(2)]
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, rows)).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == 4 and got[1].text == "own words of text 1\n再见"
+    assert [(s.start, s.end) for s in got[1].spans][0] == (0, 8)
+
+
 def test_small_hosts(spark):
     """The ratio decides for hosts of few pages; a line on one page is never boilerplate."""
     pipeline = pytest.importorskip("corpus_pipeline")
