@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from isobar.functions.geometry import ProjectedGrid, RegularGrid, haversine, int
 
 #: Distances are compared to so many decimals (of a radian: micrometres), so that ties go by index on any machine.
 DECIMALS = 12
-#: A grid of at most so many points is sent to every task of a search by brute force; a larger one is searched by cells.
+#: A grid of at most so many points is sent to every task of a search by brute force; a larger one is searched in blocks of so many.
 GRID_LIMIT = 2_000_000
 
 
@@ -25,7 +27,7 @@ def grid_points(spark, grid: RegularGrid | ProjectedGrid, unrotated=None) -> Dat
 
 
 def nearest_brute(queries: DataFrame, points: DataFrame, key: list[str], n_points: int) -> DataFrame:
-    """For each query (key, q_lat, q_lon) the nearest of (idx, lat, lon), the lowest index of equals. A stated set of positions against all points of one grid; the grid is broadcast, its size checked.
+    """For each query (key, q_lat, q_lon) the nearest of (idx, lat, lon), the lowest index of equals. A stated set of positions against all points of one grid; the grid is broadcast, its size checked. Larger ones: ``nearest_in_blocks``.
 
     Adds ``idx``, ``lat``, ``lon`` and ``distance`` in radians.
     """
@@ -38,6 +40,17 @@ def nearest_brute(queries: DataFrame, points: DataFrame, key: list[str], n_point
     return near.select(*key, "near.idx", "near.lat", "near.lon", "near.distance")
 
 
+def nearest_in_blocks(queries: DataFrame, points: DataFrame, key: list[str], block: int = GRID_LIMIT) -> DataFrame:
+    """As ``nearest_brute``, for any number of points, which come in blocks of ``idx``: the nearest of each block, then the nearest of these."""
+    last = points.agg(F.max("idx")).first()[0]
+    parts = [nearest_brute(queries, points.where(F.col("idx").between(k, k + block - 1)), key, block) for k in range(0, (-1 if last is None else last) + 1, block)]
+    if not parts:
+        return nearest_brute(queries, points, key, 0)
+    found = reduce(DataFrame.unionByName, parts)
+    near = found.groupBy(*key).agg(F.min(F.struct("distance", "idx", "lat", "lon")).alias("near"))
+    return near.select(*key, "near.idx", "near.lat", "near.lon", "near.distance")
+
+
 def nearest_direct(queries: DataFrame, grid: RegularGrid | ProjectedGrid) -> DataFrame:
     """Adds ``near`` (with idx, lat, lon) for positions inside the grid, by the four points around each; null outside, where the edge must be searched."""
     lat, lon = F.col("q_lat"), F.col("q_lon")

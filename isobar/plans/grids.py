@@ -1,6 +1,7 @@
 """From grid definitions to geometry, and point queries on fields of any mix of grids.
 
-Definitions are few however many the fields, so the driver looks at the distinct ones and chooses: expressions where the geometry is regular, a search of all points where it is not.
+Definitions are few however many the fields, so the driver looks at the distinct ones and chooses: expressions where the geometry is regular. Where it is not, nearest points
+are found by a search of all points, ``lookup.nearest_in_blocks``.
 """
 
 from __future__ import annotations

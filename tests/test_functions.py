@@ -116,6 +116,19 @@ def test_nearest_inside_equals_brute_force(spark):
         lookup.nearest_brute(q, lookup.grid_points(spark, grid), ["k"], 10**9)
 
 
+def test_nearest_in_blocks(spark):
+    """Blocks of any size give what one search gives, ties across blocks too."""
+    grid = geo.RegularGrid.of(36, 19, -90.0, 0.0, 90.0, 350.0, scan=0x40)
+    q = spark.createDataFrame([(0, 89.2, 12.0), (1, -90.0, 77.0), (2, 3.3, 355.0), (3, 5.0, 5.0), (4, 0.0, 45.0)], "k int, q_lat double, q_lon double")
+    points = lookup.grid_points(spark, grid)
+    want = sorted(map(tuple, lookup.nearest_brute(q, points, ["k"], 36 * 19).collect()))
+    assert sorted(map(tuple, lookup.nearest_in_blocks(q, points, ["k"], 100).collect())) == want and len(want) == 5
+    assert lookup.nearest_in_blocks(q, points.limit(0), ["k"]).count() == 0
+    large = geo.RegularGrid.of(2000, 1001, 90.0, 0.0, -90.0, 359.82)
+    found = lookup.nearest_in_blocks(q.where("k = 1"), lookup.grid_points(spark, large), ["k"]).first()
+    assert found.lat == -90 and found.distance == 0
+
+
 def test_missing_corners_give_null(spark):
     grid = geo.RegularGrid.of(2, 2, 1.0, 0.0, 0.0, 1.0)
     q = spark.createDataFrame([(0.25, 0.5)], "q_lat double, q_lon double").withColumn("g", F.lit(1))
