@@ -94,21 +94,26 @@ def coordinates(spark, template: int, g: dict) -> DataFrame:
 
 
 def bilinear_values(fields: DataFrame, decoded: DataFrame, queries: DataFrame, on: tuple[str, ...] = ("path", "msg_no", "field_no")) -> DataFrame:
-    """The value of every field at every query's position: ``fields`` as read, ``decoded`` as by ``decode_fields``, queries with ``q_lat`` and ``q_lon``. Weights are worked out once per grid and position."""
+    """The value of every field at every query's position: ``fields`` as read, ``decoded`` as by ``decode_fields``, queries with ``q_lat`` and ``q_lon``. Where a field or its grid has
+    none, the value is null and ``error`` says why. Weights are worked out once per grid and position."""
     parts = []
-    keyed = fields.where("error is null").select(*on, grid_id().alias("grid_id"))
+    keyed = fields.select(*on, grid_id().alias("grid_id"), F.col("error").alias("field_error"))
+    w_type = "struct<i00:bigint,i10:bigint,i01:bigint,i11:bigint,xf:double,yf:double,outside:boolean>"
     for gid, (template, numbers) in definitions(fields).items():
         try:
-            geometry = geometry_of(template, numbers or {})
-        except (ValueError, KeyError):
-            continue
-        weighed = queries.withColumn("w", geometry.weights(F.col("q_lat"), F.col("q_lon"))).withColumn("grid_id", F.lit(gid))
-        parts.append(weighed)
+            w, error = geometry_of(template, numbers or {}).weights(F.col("q_lat"), F.col("q_lon")), None
+        except (ValueError, KeyError) as e:
+            w, error = F.lit(None), str(e) if isinstance(e, ValueError) else f"no geometry for grid template {template}"
+        parts.append(queries.withColumns({"w": w.cast(w_type), "grid_error": F.lit(error).cast("string"), "grid_id": F.lit(gid)}))
+    own = decoded.join(keyed, list(on))
+    # Fields that could not be read have no grid, but a row for each position all the same.
+    unread = own.where("field_error is not null").drop("grid_id").crossJoin(queries).withColumns({"value": F.lit(None).cast("double"), "error": F.col("field_error")})
+    unread = unread.drop("values", "decode_error", "field_error")
     if not parts:
-        raise ValueError("none of the grids can be interpolated on")
-    weights = reduce(DataFrame.unionByName, parts)
-    own = decoded.join(keyed, list(on)).join(weights, "grid_id")
-    return own.withColumn("value", geo.interpolate(F.col("values"), F.col("w"))).drop("values", "w", "decode_error", "grid_id")
+        return unread
+    weighed = own.where("field_error is null").join(reduce(DataFrame.unionByName, parts), "grid_id")
+    found = weighed.withColumns({"value": geo.interpolate(F.col("values"), F.col("w")), "error": F.coalesce("decode_error", "grid_error")})
+    return found.drop("values", "w", "decode_error", "grid_error", "field_error", "grid_id").unionByName(unread)
 
 
 def wind_to_earth(points: DataFrame, template: int, g: dict, u: str = "u", v: str = "v") -> DataFrame:

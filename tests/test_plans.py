@@ -35,6 +35,21 @@ def test_values_at_places(spark, tmp_path):
     assert grids.wind_to_earth(winds, 0, flat).select("east", "north").first() == (3.0, 4.0)
 
 
+def test_fields_without_geometry_keep_their_rows(spark, tmp_path):
+    flat = encode.latlon(5, 4, 40_000_000, 10_000_000, 10_000_000, 50_000_000)
+    view = {**PLANE, "ni": 5, "nj": 4, "lon1": 9_000_000, "di": 20, "dj": 10, "xp": 2_000, "yp": 2_000, "scan": 0x40, "nr": 6_610_700}
+    data = np.arange(20.0)
+    (tmp_path / "x.grib2").write_bytes(encode.message(data, flat, "ieee", 64) + encode.message(data, view, "ieee", 64, grid_template=90))
+    (tmp_path / "y.grib2").write_bytes(encode.message(data, view, "ieee", 64, grid_template=90))
+    q = spark.createDataFrame([(1, 33.0, 22.0), (2, 40.0, 10.0)], "q int, q_lat double, q_lon double")
+    fields = grib2.read_fields(spark, str(tmp_path))
+    got = grids.bilinear_values(fields, grib2.decode_fields(fields), q).collect()
+    assert len(got) == 6 and sum(r.value is None and "90" in r.error for r in got) == 4 and sum(r.value is not None and r.error is None for r in got) == 2
+    torn = fields.withColumn("error", F.when(F.col("msg_no") == 0, F.lit("torn")))
+    kept = grids.bilinear_values(torn, grib2.decode_fields(torn), q).collect()
+    assert len(kept) == 6 and sum(r.error == "torn" for r in kept) == 4
+
+
 def test_space_view_coordinates(spark):
     g = {**PLANE, "ni": 21, "nj": 11, "lat1": 0, "lon1": 9_000_000, "di": 20, "dj": 10, "xp": 10_000, "yp": 5_000, "scan": 0x40, "nr": 6_610_700}
     c = grids.coordinates(spark, 90, g).where("on_disc")
