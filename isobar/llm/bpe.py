@@ -7,7 +7,8 @@ Only words with a failing pair are merged step by step.
 
 The vocabulary file is one of the ``tokenizers`` library: BPE with an end-of-word suffix over byte-level symbols,
 after NFC, white space and lower-case normalisation. How single characters are normalised and split is asked of the library
-itself; a text with a character outside the probed range (or with the string of a special token) is encoded by the library.
+itself, once for every character met. A text in which characters may combine, or with the string of a special token, is normalised and split by the library; its
+words are then encoded as all others.
 """
 
 from __future__ import annotations
@@ -16,21 +17,21 @@ import codecs
 import hashlib
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from isobar.llm.textarrays import Texts, chunks, range_hashes, runs
+from isobar.llm.textarrays import Texts, chunks, runs
 
-#: Code points that are probed; texts with others go to the library whole.
-PROBED = 0x3000
-LETTER, DIGIT, OTHER, SPACE, UNSAFE = 0, 1, 2, 3, 4
-#: Distinct words that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 120_000
+LETTER, DIGIT, OTHER, SPACE, UNSAFE, UNMET = 0, 1, 2, 3, 4, 5
+#: Distinct words, and characters in them, that a worker remembers before it forgets the rare ones; bounds its memory.
+REMEMBERED, REMEMBERED_CHARS = 120_000, 4_000_000
 #: The contractions that the pre-tokenizer splits off, in the order in which it tries them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Stands for the end-of-word suffix within a word; no byte-level symbol.
@@ -56,27 +57,45 @@ class Splitter:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.kind = np.full(PROBED + 1, UNSAFE, np.uint8)
-        self.lower = np.arange(PROBED + 1, dtype=np.uint32)
-        pre, norm = self.tok.pre_tokenizer, self.tok.normalizer
-        import unicodedata
-
-        for c in range(PROBED):
-            ch = chr(c)
-            if unicodedata.category(ch)[0] == "M" or 0x1100 <= c <= 0x11FF:  # may compose with what stands before
-                continue
-            low = norm.normalize_str(ch)
-            if low == " ":
-                self.kind[c], self.lower[c] = SPACE, 0x20
-            elif len(low) == 1 and ord(low) < PROBED and ch.lower() == low and unicodedata.normalize("NFC", ch) == ch:
-                n, twice = len(pre.pre_tokenize_str(f"x{low}x")), len(pre.pre_tokenize_str(f"{low}{low}"))
-                self.kind[c] = LETTER if n == 1 else SPACE if twice == 0 else DIGIT if n == 3 and twice == 2 else OTHER if n == 3 and twice == 1 else UNSAFE
-                self.lower[c] = ord(low)
+        self.kind = np.full(0x110000, UNMET, np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        self.special = {a.content: i for i, a in self.tok.get_added_tokens_decoder().items()}
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def probe(self, c: int) -> None:
+        """Asks the library what it does with one character."""
+        pre, norm, ch = self.tok.pre_tokenizer, self.tok.normalizer, chr(c)
+        self.kind[c] = UNSAFE
+        kind = unicodedata.category(ch)
+        if kind[0] == "M" or kind in ("Cn", "Cs") or 0x1100 <= c <= 0x11FF:  # may compose with what stands before
+            return
+        low = norm.normalize_str(ch)
+        if low == " ":
+            self.kind[c], self.lower[c] = SPACE, 0x20
+        elif len(low) == 1 and ch.lower() == low and unicodedata.normalize("NFC", ch) == ch:
+            n, twice = len(pre.pre_tokenize_str(f"x{low}x")), len(pre.pre_tokenize_str(f"{low}{low}"))
+            self.kind[c] = LETTER if n == 1 else SPACE if twice == 0 else DIGIT if n == 3 and twice == 2 else OTHER if n == 3 and twice == 1 else UNSAFE
+            self.lower[c] = ord(low)
+
+    def words(self, text: str) -> list[str | int]:
+        """The words of any text in byte-level symbols with ``END``, by the library; ids of special tokens stand as numbers."""
+        out: list[str | int] = []
+        for piece in self.special_pattern.split(text) if self.special_pattern else [text]:
+            if piece in self.special:
+                out.append(self.special[piece])
+            elif piece:
+                out += [w + END for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece))]
+        return out
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased code points, starts and ends of words, and which texts are safe; the words of others mean nothing."""
-        cp = np.minimum(texts.cp, PROBED)
-        kind, low = self.kind[cp], self.lower[cp]
+        cp = texts.cp
+        kind = self.kind[cp]
+        if (unmet := kind == UNMET).any():
+            for c in np.unique(cp[unmet]).tolist():
+                self.probe(c)
+            kind = self.kind[cp]
+        low = self.lower[cp]
         bad = kind == UNSAFE
         bad[:-1] |= (texts.cp[:-1] == 0x3C) & (texts.cp[1:] == 0x7C)  # "<|" begins the special tokens
         safe = np.ones(len(texts), bool)
@@ -141,14 +160,19 @@ class Merges:
         keys = np.array([(a << 32) | b for a, b in self.pair], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], np.array(list(self.pair.values()), np.int64)[order]
-        self.longest = max(map(len, self.vocab))
         # Guesses use only tokens that merging makes of their own string.
         made = np.flatnonzero(self.rank >= 0)
         sound = np.ones(n, bool)
         sound[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
         for i in made[np.argsort(self.rank[made])].tolist():
             sound[i] &= sound[self.left[i]] and sound[self.right[i]]
-        self.guessed = {t: i for t, i in self.vocab.items() if sound[i]}
+        self.trie: dict = {}
+        for t, i in self.vocab.items():
+            if sound[i]:
+                node = self.trie
+                for symbol in t:
+                    node = node.setdefault(symbol, {})
+                node[""] = i
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair; beyond all ranks where there is none."""
@@ -179,16 +203,21 @@ class Merges:
         return ok
 
     def guess(self, word: str) -> list[int] | None:
-        """Greedy longest match; none if it gets stuck."""
-        out, at, n, vocab = [], 0, len(word), self.guessed
+        """Greedy longest match; none if it gets stuck. A token never ends between the last symbol and its end mark."""
+        out, at, n, root = [], 0, len(word), self.trie
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if end != n - 1 and (t := vocab.get(word[at:end])) is not None:
-                    out.append(t)
-                    at = end
+            node, best, i = root, None, at
+            while i < n:
+                node = node.get(word[i])
+                if node is None:
                     break
-            else:
+                i += 1
+                if (token := node.get("")) is not None and i != n - 1:
+                    best, end = token, i
+            if best is None:
                 return None
+            out.append(best)
+            at = end
         return out
 
     def merge(self, word: str) -> list[int]:
@@ -257,7 +286,7 @@ def _merges(path: str) -> Merges:
 
 
 class WordCodes:
-    """Remembered words: row r has the ids ``flat[at[r]:at[r + 1]]``. Rows are found by the hash of a word."""
+    """Remembered words: row r has the ids ``flat[at[r]:at[r + 1]]``. Rows are found by the word itself, as code points in bytes or, for words that the library split off, in byte-level symbols."""
 
     def __init__(self, splitter: Splitter, encode, extra=None):
         self.splitter, self.encode, self.extra = splitter, encode, extra
@@ -265,45 +294,71 @@ class WordCodes:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[bytes | str | int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 12, np.int64)
-        self.n = 0
+        self.used = np.zeros(1 << 12, np.int64)
+        self.n = self.chars = 0
         self.more: list = []
 
+    def forget(self) -> None:
+        """Where too many words are remembered, keeps those met more than once since, at most half; rows given before mean nothing then."""
+        if self.n <= REMEMBERED and self.chars <= REMEMBERED_CHARS:
+            return
+        words, used = list(self.row), self.used[: self.n]
+        often = np.argsort(-used, kind="stable")[: REMEMBERED // 2]
+        often = often[used[often] > 1]
+        sizes = np.array([len(words[i]) if not isinstance(words[i], int) else 1 for i in often.tolist()], np.int64)
+        keep = np.sort(often[np.cumsum(sizes) <= REMEMBERED_CHARS // 2])
+        flat, begin = self.ids(keep)
+        more = [self.more[i] for i in keep.tolist()] if self.extra else []
+        used = used[keep]
+        words = [words[i] for i in keep.tolist()]
+        self.clear()
+        self.flat, self.at, self.used = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), np.concatenate([begin, np.zeros(1 << 12, np.int64)]), np.concatenate([used // 2, np.zeros(1 << 12, np.int64)])
+        self.n, self.more, self.row = len(words), more, dict(zip(words, range(len(words)), strict=True))
+        self.chars = sum(len(w) for w in words if not isinstance(w, int))
+
     def rows(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The row of each word; words not met before are encoded together."""
-        if self.n > REMEMBERED:
-            self.clear()
-        coded = pa.array(range_hashes(low, start, end)).dictionary_encode()
-        which, hashes = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if not len(start):
+            return np.zeros(0, np.int64)
+        length = end - start
+        offset = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(length, out=offset[1:])
+        own = low[np.repeat(start - offset[:-1], length) + np.arange(offset[-1])]
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(4 * offset), pa.py_buffer(own.astype("<u4", copy=False))])
+        coded = words.dictionary_encode()
+        spelled = lambda w: codecs.charmap_decode(w.decode("utf-32-le").encode(), "strict", self.alphabet)[0] + END
+        rows = self.rows_of(coded.dictionary.to_pylist(), spelled)[coded.indices.to_numpy()]
+        self.used[: self.n] += np.bincount(rows, minlength=self.n)
+        return rows
+
+    def rows_of(self, words: list, spelled=lambda w: w) -> np.ndarray:
+        """The row of each of some words; ``spelled`` gives their byte-level symbols. Numbers are ids of special tokens."""
         get = self.row.get
-        rows = [get(h, -1) for h in hashes]
-        new = [i for i, r in enumerate(rows) if r < 0]
-        if new:
-            sample = np.zeros(len(hashes), np.int64)
-            sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            text = low.tobytes().decode("utf-32-le")
-            found = [text[a:b].encode() for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)]
-            words = [codecs.charmap_decode(w, "strict", self.alphabet)[0] + END for w in found]
-            self.add([hashes[i] for i in new], words)
-            for k, i in enumerate(new):
-                rows[i] = self.n - len(new) + k
-        return np.array(rows, np.int64)[which] if len(which) else np.zeros(0, np.int64)
-
-    def add(self, hashes: list[int], words: list[str]) -> None:
-        ids = self.encode(words)
+        rows = [get(w, -1) for w in words]
+        if -1 in rows:
+            new = list(dict.fromkeys([w for w, r in zip(words, rows, strict=True) if r < 0]))
+            special = [w for w in new if isinstance(w, int)]
+            plain = [w for w in new if not isinstance(w, int)]
+            self.add(plain + special, [*self.encode([spelled(w) for w in plain]), *([w] for w in special)])
+            rows = [r if r >= 0 else get(w) for w, r in zip(words, rows, strict=True)]
+        return np.array(rows, np.int64)
+
+    def add(self, words: list, ids: list[list[int]]) -> None:
         lengths = np.array([len(x) for x in ids], np.int64)
         used, more = int(self.at[self.n]), int(lengths.sum())
         while used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(ids) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.at, self.used = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.used, np.zeros_like(self.used)])
         self.flat[used : used + more] = [t for x in ids for t in x]
         self.at[self.n + 1 : self.n + len(ids) + 1] = used + np.cumsum(lengths)
         if self.extra:
             self.more.extend(map(self.extra, ids))
-        self.row.update(zip(hashes, range(self.n, self.n + len(ids)), strict=True))
+        self.row.update(zip(words, range(self.n, self.n + len(ids)), strict=True))
+        self.chars += sum(len(w) for w in words if not isinstance(w, int))
         self.n += len(ids)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,6 +384,8 @@ def library_ids(splitter: Splitter, text: str) -> list[int]:
 def bpe_roundtrip(documents: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
+    The words of every text go through guesses, checks and, where a check fails, exact merging; which words a text has the library is asked for only where characters may combine or special tokens stand.
+
     Returns the columns ``keep`` with ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by one space) and
     ``decoded_sha256`` (of the decoded text), and with ``ids`` also the arrays of ids and the decoded texts. A null text counts as
     empty: no tokens, and the digests of the empty string. Rows are independent, so repeated rows give repeated results; an empty
@@ -343,25 +400,29 @@ def bpe_roundtrip(documents: DataFrame, tokenizer: str, text: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = speculative_codes(tokenizer)
-        split, content = codes.splitter, _merges(tokenizer).content
+        split = codes.splitter
         for batch in batches:
             for part, texts in chunks(batch):
                 low, start, end, safe = split(texts)
+                codes.forget()
                 rows = codes.rows(low, start, end)
                 first = np.searchsorted(start, texts.at)
+                # Texts that the library has to split: their words, end to end.
+                apart = {i: split.words(texts.cp[texts.at[i] : texts.at[i + 1]].tobytes().decode("utf-32-le", "replace")) for i in np.flatnonzero(~safe).tolist()}
+                apart = {i: codes.rows_of(words).tolist() for i, words in apart.items()}
                 n_of = codes.at[rows + 1] - codes.at[rows]
                 total = np.concatenate([[0], np.cumsum(n_of)])
                 number, digest, decoded, all_ids, all_text = [], [], [], [], []
                 for i in range(len(texts)):
                     if safe[i]:
                         mine = rows[first[i] : first[i + 1]].tolist()
-                        shown = [codes.more[r] for r in mine]
-                        # A word of which nothing is in the vocabulary shows nothing.
-                        as_ids, as_text = " ".join([x for x, _ in shown if x]), " ".join([y for x, y in shown if x])
                         n = int(total[first[i + 1]] - total[first[i]])
                     else:
-                        mine = library_ids(split, texts.cp[texts.at[i] : texts.at[i + 1]].tobytes().decode("utf-32-le", "replace"))
-                        as_ids, as_text, n = " ".join(map(str, mine)), " ".join([content[t] for t in mine]), len(mine)
+                        mine = apart[i]
+                        n = int((codes.at[np.array(mine, np.int64) + 1] - codes.at[mine]).sum()) if mine else 0
+                    shown = [codes.more[r] for r in mine]
+                    # A word of which nothing is in the vocabulary shows nothing.
+                    as_ids, as_text = " ".join([x for x, _ in shown if x]), " ".join([y for x, y in shown if x])
                     number.append(n)
                     digest.append(hashlib.sha256(as_ids.encode()).hexdigest())
                     decoded.append(hashlib.sha256(as_text.encode()).hexdigest())

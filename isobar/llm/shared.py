@@ -7,22 +7,23 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A table is broadcast only if its rows, as counted, come to at most so many bytes.
 BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where it is unset, as in tests, a new local one is set."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. A session in one process, as in tests, may do without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = tempfile.mkdtemp(prefix="isobar-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="isobar-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -33,21 +34,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a row in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        own = F.octet_length(c) + 16
+    elif isinstance(kind, T.StructType):
+        own = sum((_width(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(16))
+    elif isinstance(kind, T.ArrayType):
+        own = F.aggregate(c, F.lit(24).cast("long"), lambda total, x: total + _width(x, kind.elementType).cast("long"))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
 def row_bytes(df: DataFrame) -> int:
     """About how many bytes the rows take in memory, by a count over all of them."""
-    def width(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
-        if kind == "string":
-            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-        if kind == "binary":
-            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-        if kind.startswith("array<string"):
-            return F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) + 16 * F.greatest(F.size(c), F.lit(0)) + 24
-        if kind.startswith("array"):
-            return F.greatest(F.size(c), F.lit(0)) * 16 + 24
-        return F.lit(8)
-
-    total = sum((width(n, k) for n, k in df.dtypes), F.lit(16))
+    total = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
     return int(df.agg(F.sum(total)).first()[0] or 0)
 
 

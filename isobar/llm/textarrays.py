@@ -14,8 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Code points that one chunk holds, unless a single text is longer.
 CHUNK = 1 << 19
 
@@ -82,30 +80,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        p = np.full(n, base, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-@lru_cache(maxsize=1)
-def _symbol_values() -> np.ndarray:
-    return mix(np.arange(0x10000, dtype=U64) + U64(0x51ED27))
-
-
-def range_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``symbols[start:end]`` by differences of one prefix sum; the same content hashes alike anywhere."""
-    n = len(symbols)
-    room = 1 << max(20, (n + 1).bit_length())
-    power, inverse = _powers(room)
-    values = _symbol_values()[symbols] if symbols.dtype.itemsize <= 2 or (n and symbols.max() < 0x10000) else mix(symbols.astype(U64) + U64(0x51ED27))
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(values * power[:n], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
+#: Symbols that one step of the tree of ``range_hashes`` takes together.
+FAN = 8
+
+
+def range_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``symbols[start:end]``; the same content hashes alike anywhere. Other seeds give independent hashes.
+
+    Every ``FAN`` symbols are chained by a multiplication and a shift each, and the results are hashed in the same way until one is left, so no algebra ties the hashes of different contents together.
+    """
+    length = (end - start).astype(np.int64)
+    h = _tree(symbols, start.astype(np.int64), length, U64((0x51ED270B9F1F3E35 + seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+    return mix(h ^ (length.astype(U64) * U64(0x9FB21C651E98DF25)))
+
+
+def _tree(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, seed: np.uint64) -> np.ndarray:
+    n_blocks = np.maximum(-(-length // FAN), 1)
+    long = n_blocks > 1
+    if long.any():
+        first = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(n_blocks, out=first[1:])
+        inside = np.arange(first[-1]) - np.repeat(first[:-1], n_blocks)
+        at = np.repeat(start, n_blocks) + FAN * inside
+        left = np.minimum(np.repeat(length, n_blocks) - FAN * inside, FAN)
+    else:
+        at, left = start, length
+    h = np.full(len(at), seed, U64)
+    last = max(len(symbols) - 1, 0)
+    for k in range(int(left.max(initial=0))):
+        value = symbols[np.minimum(at + k, last)].astype(U64)
+        value[left <= k] = 0xFFFFFFFF
+        h = (h ^ value) * U64(0xD6E8FEB86659FD93)
+        h ^= h >> U64(32)
+    # The same number of steps for every block, wherever it stands.
+    for _ in range(FAN - int(left.max(initial=0))):
+        h = (h ^ U64(0xFFFFFFFF)) * U64(0xD6E8FEB86659FD93)
+        h ^= h >> U64(32)
+    if not long.any():
+        return h
+    out = h[first[:-1]]
+    out[long] = _tree(h, first[:-1][long], n_blocks[long], seed ^ U64(0xA0761D6478BD642F))
+    return out
 
 
 def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

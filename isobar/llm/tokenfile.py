@@ -121,6 +121,7 @@ def write_token_file(documents: DataFrame, path: str, tokenizer: str, end_id: in
         for batch in batches:
             for piece, texts in chunks(batch, most=SEGMENT_CHARS):
                 low, start, end, safe = split(texts)
+                codes.forget()
                 flat, begin = codes.ids(codes.rows(low, start, end))
                 bounds = begin[np.searchsorted(start, texts.at)]
                 n_tokens = np.diff(bounds) + 1

@@ -4,17 +4,20 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from isobar.llm.bpe import END, _merges, bpe_roundtrip, byte_symbols  # noqa: E402
+from isobar.llm.bpe import END, WordCodes, _merges, bpe_roundtrip, byte_symbols, speculative_codes  # noqa: E402
+from isobar.llm.textarrays import Texts  # noqa: E402
 from isobar.llm.tokenfile import pack, read_token_file, unpack, write_token_file  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " ", "don't stop 'S 'RE 'real ''s !'s x'll'd 5's '5 it's", "a'", "'s", "日本語 text’s “quoted” café é", "<|endoftext|> x", "<| y",
     "ΑΣ ας ΟΔΟΣ İx", "123 4½ ²", "a" * 3000, "ab" * 999 + " " + "!" * 500, "naïve ÀÉÎ Ÿ ſ ǅ", " 's 't", "she's-'ve", "\x00a\x1fb\x7f", "x", "x",
+    "版权所有，翻印必究。すべての権利を保有する", "สงวนลิขสิทธิ์ทุกประการ", "cafe\u0301 e\u0323\u0302 한국어 \u1112\u1161\u11ab", "good 👍🏽 day 👨‍👩‍👧 ✌️", "हिन्दी में लिखा", "a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> <|endoftext", "\U0001d400\u00ad\u200b\ue000x",
     "The and attion to thanedble the, anea.\nEriner thanea. " * 400,
 ]
 
@@ -41,6 +44,46 @@ def test_roundtrip_equals_library(spark, library):
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def doubled(n, swap):
+    word = "b" if swap else "a"
+    while len(word) < n:
+        word = word.replace("a", "x").replace("b", "ba").replace("x", "ab")
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse(spark, library):
+    """Words of two letters that double by a to ab and b to ba have one hash under every polynomial modulo 2^64."""
+    rows = [(10 * n + s, doubled(n, s)) for n in (1024, 2048, 4096) for s in (0, 1)]
+    for r in bpe_roundtrip(frame(spark, rows).coalesce(1), PATH, ids=True).collect():
+        assert r.ids == library.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids
+
+
+def test_forgetting_words_changes_nothing(spark, library, monkeypatch):
+    from isobar.llm import bpe
+
+    codes = WordCodes(bpe._splitter(PATH), lambda words: bpe._merges(PATH).encode_words(words)[0])
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    rng = np.random.default_rng(2)
+    for k in range(30):
+        words = ["".join(rng.choice(list("thean"), rng.integers(1, 5))) for _ in range(60)] + ["the"] * 9
+        codes.forget()
+        assert codes.n <= 40 or k == 0
+        low, start, end, _ = codes.splitter(Texts(pa.array([" ".join(words)])))
+        assert codes.ids(codes.rows(low, start, end))[0].tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert b"".join(c.encode("utf-32-le") for c in "the") in codes.row
+
+
+def test_texts_of_any_script_go_through_guess_and_check(spark):
+    codes, calls = speculative_codes(PATH), []
+    encode = codes.encode
+    codes.clear()
+    codes.encode = lambda words: calls.append(len(words)) or encode(words)
+    split = codes.splitter
+    assert codes.rows_of(split.words("हिन्दी <|endoftext|> é")).tolist() and sum(calls) >= 2
+    low, start, end, safe = split(Texts(pa.array(["日本語 👍 text", "हिन्दी", None])))
+    assert safe.tolist() == [True, False, True] and [low[a:b].tobytes().decode("utf-32-le") for a, b in zip(start, end)][:3] == ["日本語", "👍", "text"]
+
+
 def test_every_check_agrees_with_exact_merging():
     merges, rng = _merges(PATH), np.random.default_rng(5)
     tokens = sorted(t for t in merges.vocab if t.isascii())
