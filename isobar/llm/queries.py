@@ -131,16 +131,27 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-with l as (select doc_id, u, line, sum(length(line) + 1) over (partition by doc_id order by u) - length(line) - 1 as start from
-           (select doc_id, unnest(range(len(lines))) as u, unnest(lines) as line from (select doc_id, string_split(text, chr(10)) as lines from documents))),
-x as (select *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
- ]+', ' ', 'g'), ' ') as norm from l),
-y as (select *, len(string_split(norm, ' ')) >= 5 and row_number() over (partition by norm order by doc_id, u) > 1 as gone from x)
-select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed,
-       coalesce(string_agg(cast(start as bigint) || '-' || cast(start + length(line) as bigint), ',' order by u) filter (gone), '') as spans,
-       coalesce(string_agg(line, chr(10) order by u) filter (not gone), '') as text
-from y group by doc_id
-"""
+with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x09-\x0D ]*(?:[UNSPACED]|[^\x09-\x0D UNSPACED]+)') as pieces from documents),
+p as (select doc_id, unnest(range(len(pieces))) as i, unnest(pieces) as piece from t),
+w as (select doc_id, i, regexp_replace(piece, '^[\x09-\x0D ]*', '') as word, strpos(regexp_extract(piece, '^[\x09-\x0D ]*'), chr(10)) > 0 as fresh,
+             sum(length(piece)) over (partition by doc_id order by i) as stop from p),
+x as (select doc_id, i, stop, stop - length(word) as start, fresh, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word from w),
+c as (select *, list_sum([unicode(z) for z in string_split(word, '')]) % 8 = 0 or regexp_matches(word, '[.!?\x{3002}\x{FF01}\x{FF1F}]$') as cut from x),
+s as (select *, sum(cast(fresh or coalesce(before, true) as int)) over (partition by doc_id order by i) as seg from (select *, lag(cut) over (partition by doc_id order by i) as before from c)),
+k as (select *, (row_number() over (partition by doc_id, seg order by i) - 1) // 12 as nth from s),
+u as (select doc_id, seg, nth, min(start) as start, max(stop) as stop, count(*) as words, string_agg(word, ' ' order by i) as norm from k group by all),
+r as (select *, row_number() over (partition by doc_id order by seg, nth) as unit, row_number() over (partition by norm order by doc_id, seg, nth) > 1 as again from u),
+g as (select *, unit - row_number() over (partition by doc_id, again order by unit) as island from r),
+z as (select *, again and sum(words) over (partition by doc_id, again, island) >= 25 as gone from g),
+spans as (select doc_id, cast(min(start) as bigint) as start, cast(max(stop) as bigint) as stop, count(*) as n from z where gone group by doc_id, island),
+left_ as (select *, coalesce(lag(stop) over (partition by doc_id order by start), 0) as since from spans),
+cutout as (select doc_id, cast(sum(n) as bigint) as n_removed, string_agg(start || '-' || stop, ',' order by start) as spans, max(stop) as tail,
+                  string_agg(substr(text, since + 1, start - since), '' order by start) as head from left_ join t using (doc_id) group by doc_id),
+n as (select doc_id, count(*) as n_units from u group by doc_id)
+select t.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(spans, '') as spans,
+       case when d.text is null then null when cutout.doc_id is null then t.text else head || substr(t.text, tail + 1) end as text
+from t join documents d using (doc_id) left join n using (doc_id) left join cutout using (doc_id)
+""".replace("UNSPACED", r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FFF}\x{3004}-\x{FEFF}\x{FF10}-\x{10FFFF}")
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Substring dedup: line hashing.
+"""Substring dedup: hashing of lines, in sentences.
 
-Lines are normalised (A-Z in lower case, runs of ASCII white space as one space, none at the ends) and named by 128 bits. Of the lines that are
-alike anywhere, the earliest ranked one stays: that of the least document id, then of the least place in the text. The others are
-removed, and their original offsets reported.
+The units are the sentences of a line, of which long ones are cut further. Cuts depend on the words themselves, never on where a passage stands, so a passage that begins and ends within lines has the
+same units wherever it is copied to. Units are normalised (A-Z in lower case, words joined by one space), named by digests and grouped over all documents; of units that are alike the earliest ranked one stays, that of the
+least document id, then of the least place in the text. Short units recur by chance, so the others go only where repeated units in a row reach ``MIN_WORDS`` words. What goes is reported by its offsets in the original text.
+
+A digest has 64 bits, and no unit has more than ``MOST`` words. So what goes is at least two units long, and a text that is no repeat would go only if the digests of two neighbours collided at once: at 10^13 units
+one unit in 10^6 has a collision, two in a row one in 10^12.
 """
 
 from __future__ import annotations
@@ -11,113 +14,149 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobar.llm.shared import small_or_not, written
-from isobar.llm.textarrays import Texts, chunks, mix, range_hashes, runs
-
-#: Lines of fewer words are left alone: they recur by chance.
-MIN_WORDS = 5
+from isobar.llm.textarrays import Texts, chunks, range_hashes, runs
+
+#: Words of repeated units in a row from which they are removed: half of a passage of fifty words, whose first and last units may be cut by its ends.
+MIN_WORDS = 25
+#: A sentence is cut after words whose code points sum up to a multiple of CUT, and after MOST words without a cut.
+CUT, MOST = 8, 12
+#: Characters that end a sentence where they end a word.
+ENDS = ".!?。！？"
 #: Scripts written without spaces, of which each character counts as a word: from Thai to Lao, Myanmar, Khmer, and CJK, kana, Hangul and what follows.
 UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3000), (0x3004, 0xFF00), (0xFF10, 0x110000))
 
 
-def lines_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all lines, without their newlines, and the text of each. Every text has one at least."""
-    newline = np.flatnonzero(texts.cp == 10)
-    doc = texts.doc_of(newline)
-    start = np.concatenate([texts.at[:-1], newline + 1])
-    end = np.concatenate([newline, texts.at[1:]])
-    of_start, of_end = np.concatenate([np.arange(len(texts)), doc]), np.concatenate([doc, np.arange(len(texts))])
-    return start[np.lexsort((start, of_start))], end[np.lexsort((end, of_end))], np.sort(of_start)
-
-
-def line_digests(texts: Texts, start: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits for each normalised line, and which lines have ``min_words`` words; each character of an unspaced script is one."""
-    cp = texts.cp
-    space = (cp == 0x20) | ((cp >= 9) & (cp <= 13))
-    alone = np.zeros(len(cp), bool)
-    for low, high in UNSPACED:
-        alone |= (cp >= low) & (cp < high)
-    # Words begin after white space, and each character that stands alone is one beside those of spaced scripts.
-    word_start = np.sort(np.concatenate([runs(~space & ~alone, texts.at)[0], np.flatnonzero(alone)])) if alone.any() else runs(~space, texts.at)[0]
-    words = np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
-    # White space stays where it follows a word of the same line and, as one space, precedes another.
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1] & (cp[1:] != 10)
-    symbols = np.where(space, 0x20, cp + (((cp >= 0x41) & (cp <= 0x5A)).astype(np.uint32) << 5)).astype(np.uint32)[keep]
-    place = np.zeros(len(cp) + 1, np.int64)
-    np.cumsum(keep, out=place[1:])
-    a, b = place[start], place[end]
-    full = b > a
-    last = np.where(full, symbols[np.maximum(b - 1, 0)] == 0x20, False) if len(symbols) else np.zeros(len(a), bool)
-    first = np.where(full, symbols[np.minimum(a, len(symbols) - 1)] == 0x20, False) if len(symbols) else last
-    b = b - last
-    a = np.minimum(a + first, b)
-    return range_hashes(symbols, a, b), range_hashes(mix(symbols.astype(np.uint64) + np.uint64(77)) & np.uint64(0xFFFF), a, b), words >= min_words
-
-
-UNITS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "tie", "unit", "d1", "d2")])
-
-
-def unit_rows(rows: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc, tie, unit, d1, d2): the digest of each line of enough words."""
+class Units:
+    """The units of some texts: ``start`` and ``end`` of each (from its first word to its last), its number of ``words``, the text it lies in (``doc``), and ``digests``."""
+
+    def __init__(self, texts: Texts, digests: bool = True):
+        cp = texts.cp
+        space = (cp == 0x20) | ((cp >= 9) & (cp <= 13))
+        alone = np.zeros(len(cp), bool)
+        for low, high in UNSPACED:
+            alone |= (cp >= low) & (cp < high)
+        start, end = runs(~space & ~alone, texts.at)
+        if alone.any():
+            single = np.flatnonzero(alone)
+            start, end = np.concatenate([start, single]), np.concatenate([end, single + 1])
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], end[order]
+        n = len(start)
+        lowered = cp + (((cp >= 0x41) & (cp <= 0x5A)).astype(np.uint32) << np.uint32(5))
+        total = np.zeros(len(cp) + 1, np.int64)
+        np.cumsum(lowered, out=total[1:])
+        doc = texts.doc_of(start)
+        line = np.searchsorted(np.flatnonzero(cp == 10), start)
+        last = np.ones(n, bool)
+        last[:-1] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
+        cut = last | ((total[end] - total[start]) % CUT == 0)
+        if n:
+            cut |= np.isin(cp[end - 1], np.array([ord(c) for c in ENDS], np.uint32))
+        piece = np.concatenate([[True], cut[:-1]]) if n else cut
+        since = np.arange(n) - np.maximum.accumulate(np.where(piece, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+        first = np.flatnonzero(since % MOST == 0)
+        stop = np.append(first[1:], n)[: len(first)]
+        self.start, self.end, self.words, self.doc = start[first], end[stop - 1] if len(first) else end[:0], stop - first, doc[first]
+        if digests:
+            # The words, lower-cased, with one space after each.
+            length = end - start
+            at = np.zeros(n + 1, np.int64)
+            np.cumsum(length + 1, out=at[1:])
+            flat = np.full(at[-1], 0x20, np.uint32)
+            flat[np.repeat(at[:-1] - (np.cumsum(length) - length), length) + np.arange(length.sum())] = lowered[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+            self.digests = range_hashes(flat, at[first], at[stop])
+
+
+UNITS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
+
+
+def unit_rows(rows: DataFrame) -> DataFrame:
+    """(rid, doc, key, digests, words) of (rid, doc, key, text): the units of each text, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                start, end, doc = lines_of(texts)
-                d1, d2, enough = line_digests(texts, start, end, min_words)
-                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                at = np.flatnonzero(enough)
-                of = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(number[at]), pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64))], names=UNITS.fieldNames())
-
-    return rows.select("doc", "tie", "text").mapInArrow(run, UNITS)
+                units = Units(texts)
+                at = pa.array(np.searchsorted(units.doc, np.arange(len(texts) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(at, pa.array(units.digests.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(units.words.astype(np.int32)))], names=UNITS.fieldNames())
+
+    return rows.select("rid", "doc", "key", "text").mapInArrow(run, UNITS)
+
+
+def repeated_runs(units: DataFrame, min_words: int) -> DataFrame:
+    """(rid, gone): for each text with some, its runs of repeated units (first, last) that reach ``min_words`` words, in order."""
+    repeated = written(units.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"))
+    zipped = F.posexplode(F.arrays_zip("digests", "words")).alias("unit", "z")
+    each = units.select("rid", zipped).select(F.col("z.digests").alias("d"), "rid", "unit", F.col("z.words").alias("words"))
+    # These tables grow with the corpus: they are joined by shuffles at every size.
+    met = written(each.join(repeated.hint("merge"), "d"))
+    # Only units that occur twice at least are ranked.
+    of = units.select("rid", F.struct(F.col("doc").isNull().alias("last"), "doc", "key", "rid").alias("rank"))
+    ranked = met.join(of.hint("merge"), "rid")
+    first = ranked.groupBy("d").agg(F.min(F.struct("rank", "unit")).alias("first")).select("d", F.col("first.rank.rid").alias("f_rid"), F.col("first.unit").alias("f_unit"))
+    again = met.join(first.hint("merge"), "d").where("rid != f_rid or unit != f_unit").select("rid", "unit", "words")
+    island = again.withColumn("island", F.col("unit") - F.row_number().over(Window.partitionBy("rid").orderBy("unit")))
+    found = island.groupBy("rid", "island").agg(F.min("unit").alias("first"), F.max("unit").alias("last"), F.sum("words").alias("n")).where(F.col("n") >= min_words)
+    return found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """For every document: ``doc_id``, ``n_units`` (lines), ``n_removed``, ``spans`` (start and end offsets in code points of the removed lines in the original text,
-    in order) and ``text`` (the other lines, joined by newlines).
+    """For every document: ``doc_id``, ``n_units`` (of the text), ``n_removed`` (units removed), ``spans`` (start and end offsets in code points of what is removed from the original text, in order, each from the
+    first word of a run of repeated units to its last) and ``text`` (what is left, as it stood).
 
-    Lines of fewer than ``min_words`` words stay; words lie between white space, and each character of a script written without spaces is one. A null text stays null and has no lines. Rows are ranked by id (null last), then, if they share an id, by a hash of
-    the text; rows with the same id and text are the same document read twice and fare alike. Empty tables give empty results; other columns are not read.
+    A unit is a sentence of a line, or a piece of one. Repeated units in a row, over the ends of lines too, are removed if they have ``min_words`` words; words lie between white space, and each character of a script
+    written without spaces is one. A null text stays null and has no units, an empty one has none either; a text may be of any length. Texts are ranked by id (null last), then, if they share an id, by a digest of the text; of rows with the
+    same id and text one comes first, and the others repeat all of it. Empty tables give empty results; other columns are not read.
 
-    A line that very many documents share meets in one group only as a count and a least rank, summed up before the shuffle; it is then looked up in an inner join, whose skew the
-    adaptive planner splits.
+    A unit that very many documents share is summed up before each shuffle; it is then looked up in an inner join, whose skew the adaptive planner splits. Texts are not shuffled unless the runs to be removed are
+    too many to broadcast.
     """
-    rows = documents.select(documents[doc_id].cast("long").alias("doc"), documents[text].cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    units = written(unit_rows(rows, min_words))
-    rank = F.struct(F.col("doc").isNull().alias("last"), F.coalesce("doc", F.lit(0)).alias("id"), "tie", "unit")
-    first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    again = units.join(small_or_not(written(first)), ["d1", "d2"]).where(rank != F.col("first"))
-    gone = written(again.groupBy("doc", "tie").agg(F.array_sort(F.collect_set("unit")).alias("units")).withColumnsRenamed({"doc": "g_doc", "tie": "g_tie"}))
-    joined = rows.join(small_or_not(gone), (F.col("doc").eqNullSafe(F.col("g_doc"))) & (F.col("tie") == F.col("g_tie")), "left").select("doc", "text", "units")
+    key = F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")).cast("binary")))
+    rows = documents.select(documents[doc_id].cast("long").alias("doc"), documents[text].cast("string").alias("text")).withColumn("key", key)
+    units = written(unit_rows(rows.withColumn("rid", F.monotonically_increasing_id())))
+    runs_of = written(repeated_runs(units.where("size(digests) > 0"), min_words))
+    # Rows that repeat an id with its text: the first fares as its least row, the others go whole.
+    ids = units.select("rid", "doc", "key")
+    twice = written(ids.groupBy("doc", "key").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).where("n > 1"))
+    several = not twice.isEmpty()
+    gone = runs_of.join(ids.hint("merge"), "rid")
+    if several:
+        gone = gone.join(small_or_not(twice.select(F.col("rid").alias("least"), F.col("doc").alias("t_doc"), F.col("key").alias("t_key"))), F.col("doc").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key")), "left").where("least is null or rid = least")
+    gone = written(gone.select(F.col("doc").alias("g_doc"), F.col("key").alias("g_key"), "gone"))
+    once = rows.withColumn("copy", F.lit(1))
+    if several:
+        same = rows["doc"].eqNullSafe(F.col("t_doc")) & (rows["key"] == F.col("t_key"))
+        marks = small_or_not(twice.select(F.col("doc").alias("t_doc"), F.col("key").alias("t_key")))
+        copies = rows.join(marks, same, "left_semi").groupBy("doc", "key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+        once = rows.join(marks, same, "left_anti").withColumn("copy", F.lit(1)).select("doc", "text", "key", "copy").unionByName(copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc", "text", "key", "copy"))
+    joined = once.join(small_or_not(gone), (F.col("doc").eqNullSafe(F.col("g_doc"))) & (F.col("key") == F.col("g_key")), "left").select("doc", "text", "copy", "gone")
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                start, end, doc = lines_of(texts)
-                begin = np.searchsorted(doc, np.arange(len(texts) + 1))
-                original, removed = part.column(1).to_pylist(), part.column(2).to_pylist()
-                n_units = np.diff(begin)
-                spans, kept = [], []
-                for i, (t, units) in enumerate(zip(original, removed, strict=True)):
-                    if t is None:
-                        n_units[i] = 0
-                    if not units:
-                        spans.append([])
-                        kept.append(t)
-                        continue
-                    a, b = start[begin[i] : begin[i + 1]] - texts.at[i], end[begin[i] : begin[i + 1]] - texts.at[i]
-                    spans.append([{"start": int(a[u]), "end": int(b[u])} for u in units])
-                    out = set(units)
-                    kept.append("\n".join([t[x:y] for u, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if u not in out]))
-                columns = [part.column(0), pa.array(n_units.astype(np.int64)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
+                units = Units(texts, digests=False)
+                begin = np.searchsorted(units.doc, np.arange(len(texts) + 1))
+                original, copy, gone = part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
+                spans, removed = [], []
+                for i, t in enumerate(original):
+                    a, b = int(begin[i]), int(begin[i + 1])
+                    if copy[i] > 1:
+                        own = [{"first": 0, "last": b - a - 1}] if int(units.words[a:b].sum()) >= min_words else []
+                    else:
+                        own = gone[i] or []
+                    removed.append(sum(r["last"] - r["first"] + 1 for r in own))
+                    spans.append([{"start": int(units.start[a + r["first"]] - texts.at[i]), "end": int(units.end[a + r["last"]] - texts.at[i])} for r in own])
+                    if own:
+                        cuts = [0, *(x for s in spans[-1] for x in (s["start"], s["end"])), len(t)]
+                        original[i] = "".join([t[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)])
+                columns = [part.column(0), pa.array(np.diff(begin).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(original, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return joined.mapInArrow(run, schema).withColumnRenamed("doc", doc_id)
