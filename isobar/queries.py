@@ -568,17 +568,17 @@ def supplier_arrays(spark, sf_dir) -> DataFrame:
 
 
 def _through_messages(spark, sf_dir, packing, bits_):
-    from isobar.sources import encode, grib2
+    from isobar.sources import encode, gridded
 
     files = encode.encode_rows(supplier_arrays(spark, sf_dir), "l_suppkey", packing, bits_)
-    decoded = grib2.decode_fields(grib2.parse_files(files, "FAILFAST"), ("path", "packing_template"))
+    decoded = gridded.decode_fields(gridded.parse_files(files, "FAILFAST"), ("path", "packing_template"))
     return decoded
 
 
 @query("select l_suppkey, cast(idx as integer) as idx, value from {V}", V=VALUES)
 def message_ieee_roundtrip(spark, sf_dir):
     """Messages that keep values whole, with a bit map: every point comes back as it was."""
-    from isobar.sources.grib2 import points_of
+    from isobar.sources.gridded import points_of
 
     return points_of(_through_messages(spark, sf_dir, "ieee", 64)).select(F.col("path").cast("long").alias("l_suppkey"), "idx", "value")
 
@@ -602,10 +602,10 @@ for _args in (("simple", 0, 16, 2), ("png", 41, 16, 2), ("ccsds", 42, 16, 2), ("
 @query("select l_suppkey, 98 as centre, 'European Centre for Medium-Range Weather Forecasts (ECMWF)' as centre_name, 'Temperature' as parameter, 'K' as unit, 2e0 as level, count(*) as n_points from lineitem group by l_suppkey")
 def message_inventory(spark, sf_dir):
     """What messages are about, without decoding any value."""
-    from isobar.sources import encode, grib2
+    from isobar.sources import encode, gridded
 
-    f = grib2.parse_files(encode.encode_rows(supplier_arrays(spark, sf_dir), "l_suppkey", "simple", 12), data=False)
-    n = grib2.number
+    f = gridded.parse_files(encode.encode_rows(supplier_arrays(spark, sf_dir), "l_suppkey", "simple", 12), data=False)
+    n = gridded.number
     named = f.select(F.col("path").cast("long").alias("l_suppkey"), n("identification", "centre").cast("int").alias("centre"), "discipline", n("product", "category").cast("int").alias("category"), n("product", "number").cast("int").alias("number"), names.surface_value(n("product", "surface1_scale"), n("product", "surface1_value")).alias("level"), "n_points")
     return names.with_parameter(names.with_name(named, "centre", "centre", "centre_name")).select("l_suppkey", "centre", "centre_name", "parameter", "unit", "level", "n_points")
 

@@ -1,7 +1,7 @@
 """GRIB edition 2 in Spark: files to rows of fields, packed fields to arrays of values, rows back to messages.
 
 Files are read by Spark's own ``binaryFile`` source, in any store and as a stream too, and parsed in Arrow batches. Values stay packed until they are asked for, so a query of metadata never decodes.
-``register`` adds the format ``grib2`` for ``spark.read`` and ``df.write`` on top of the same code.
+``register`` adds the format ``wmo-grib`` for ``spark.read`` and ``df.write`` on top of the same code.
 """
 
 from __future__ import annotations
@@ -205,7 +205,7 @@ def to_messages(fields: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, schema)
 
 
-# ---- the format "grib2"
+# ---- the format "wmo-grib"
 
 
 class _File(InputPartition):
@@ -252,15 +252,15 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
-    """Writes rows of (…, content): each task one file of its messages, under a name that only a committed job moves into place."""
+    """Writes rows of (…, content): each task one file of its messages, under a name that only a committed job moves into place. With ``overwrite`` the commit deletes the files that were there before."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows):
         system, at = _open(self.path)
         system.create_dir(at, recursive=True)
-        name = f"{at}/.part-{uuid.uuid4().hex}.grib2"
+        name = f"{at}/.part-{uuid.uuid4().hex}.grb"
         n = 0
         with system.open_output_stream(name) as f:
             for row in rows:
@@ -271,7 +271,13 @@ class _Writer(DataSourceWriter):
         return message
 
     def commit(self, found):
-        system, _ = _open(self.path)
+        from pyarrow import fs
+
+        system, at = _open(self.path)
+        if self.overwrite:
+            for f in system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)):
+                if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")):
+                    system.delete_file(f.path)
         for m in found:
             if m is not None and m.n:
                 system.move(m.name, m.name.replace("/.part-", "/part-"))
@@ -285,12 +291,12 @@ class _Writer(DataSourceWriter):
                 system.delete_file(m.name)
 
 
-class Grib2(DataSource):
-    """``spark.read.format("grib2").load(path)``, with the options ``mode`` and ``includeData``; ``df.write.format("grib2").save(path)`` for rows with ``content``."""
+class GriddedMessages(DataSource):
+    """``spark.read.format("wmo-grib").load(path)``, with the options ``mode`` and ``includeData``; ``df.write.format("wmo-grib").save(path)`` for rows with ``content``."""
 
     @classmethod
     def name(cls):
-        return "grib2"
+        return "wmo-grib"
 
     def schema(self):
         return FIELDS
@@ -299,8 +305,8 @@ class Grib2(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite):
-        return _Writer({k.lower(): v for k, v in self.options.items()})
+        return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Grib2)
+    spark.dataSource.register(GriddedMessages)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from isobar.functions import reduced
 from isobar.functions.geometry import gaussian_latitudes
 from isobar.plans import grids
-from isobar.sources import encode, grib2, layout, messages
+from isobar.sources import encode, gridded, layout, messages
 from isobar.streaming.fields import arrivals, each_once
 
 PLANE = {k: 0 for k, _ in [*layout.GRIDS[30], *layout.GRIDS[20], *layout.GRIDS[1], *layout.GRIDS[90], *layout.GRIDS[10]]} | encode.EARTH
@@ -20,12 +20,12 @@ def test_values_at_places(spark, tmp_path):
     lat = np.repeat([40.0, 30, 20, 10], 5)
     cone = {**PLANE, "ni": 30, "nj": 20, "lat1": 30_000_000, "lon1": 5_000_000, "flags": 8, "lad": 40_000_000, "lov": 15_000_000, "di": 100_000_000, "dj": 100_000_000, "scan": 0x40, "latin1": 30_000_000, "latin2": 50_000_000}
     turned = {**flat, "pole_lat": -30_000_000, "pole_lon": 10_000_000, "angle": 0.0}
-    (tmp_path / "x.grib2").write_bytes(
+    (tmp_path / "x.grb").write_bytes(
         encode.message(lat, flat, "ieee", 64) + encode.message(lat, {**flat, "lat1": flat["lat2"], "lat2": flat["lat1"], "scan": 0x40}, "ieee", 64) + encode.message(np.full(600, 7.0), cone, grid_template=30) + encode.message(lat, turned, "ieee", 64, grid_template=1)
     )
-    fields = grib2.read_fields(spark, str(tmp_path))
+    fields = gridded.read_fields(spark, str(tmp_path))
     q = spark.createDataFrame([(1, 33.0, 22.0), (2, 40.0, 10.0)], "q int, q_lat double, q_lon double")
-    got = {(r.msg_no, r.q): r.value for r in grids.bilinear_values(fields, grib2.decode_fields(fields), q).collect()}
+    got = {(r.msg_no, r.q): r.value for r in grids.bilinear_values(fields, gridded.decode_fields(fields), q).collect()}
     assert got[(0, 1)] == pytest.approx(33) and got[(0, 2)] == pytest.approx(40) and got[(1, 1)] == pytest.approx(17) and got[(2, 1)] == pytest.approx(7) and len(got) == 8
     for template, numbers in grids.definitions(fields).values():
         points = grids.coordinates(spark, template, numbers)
@@ -39,14 +39,14 @@ def test_fields_without_geometry_keep_their_rows(spark, tmp_path):
     flat = encode.latlon(5, 4, 40_000_000, 10_000_000, 10_000_000, 50_000_000)
     view = {**PLANE, "ni": 5, "nj": 4, "lon1": 9_000_000, "di": 20, "dj": 10, "xp": 2_000, "yp": 2_000, "scan": 0x40, "nr": 6_610_700}
     data = np.arange(20.0)
-    (tmp_path / "x.grib2").write_bytes(encode.message(data, flat, "ieee", 64) + encode.message(data, view, "ieee", 64, grid_template=90))
-    (tmp_path / "y.grib2").write_bytes(encode.message(data, view, "ieee", 64, grid_template=90))
+    (tmp_path / "x.grb").write_bytes(encode.message(data, flat, "ieee", 64) + encode.message(data, view, "ieee", 64, grid_template=90))
+    (tmp_path / "y.grb").write_bytes(encode.message(data, view, "ieee", 64, grid_template=90))
     q = spark.createDataFrame([(1, 33.0, 22.0), (2, 40.0, 10.0)], "q int, q_lat double, q_lon double")
-    fields = grib2.read_fields(spark, str(tmp_path))
-    got = grids.bilinear_values(fields, grib2.decode_fields(fields), q).collect()
+    fields = gridded.read_fields(spark, str(tmp_path))
+    got = grids.bilinear_values(fields, gridded.decode_fields(fields), q).collect()
     assert len(got) == 6 and sum(r.value is None and "90" in r.error for r in got) == 4 and sum(r.value is not None and r.error is None for r in got) == 2
     torn = fields.withColumn("error", F.when(F.col("msg_no") == 0, F.lit("torn")))
-    kept = grids.bilinear_values(torn, grib2.decode_fields(torn), q).collect()
+    kept = grids.bilinear_values(torn, gridded.decode_fields(torn), q).collect()
     assert len(kept) == 6 and sum(r.error == "torn" for r in kept) == 4
 
 
@@ -77,9 +77,9 @@ def test_reduced_grids(spark):
 def test_streams(spark, tmp_path):
     flat = encode.latlon(2, 2, 1_000_000, 0, 0, 1_000_000)
     (tmp_path / "a").write_bytes(encode.message(np.arange(4.0), flat) * 3 + encode.message(np.arange(4.0) + 1, flat))
-    q = each_once(grib2.stream_fields(spark, str(tmp_path))).select("msg_no").writeStream.format("memory").queryName("once").start()
+    q = each_once(gridded.stream_fields(spark, str(tmp_path))).select("msg_no").writeStream.format("memory").queryName("once").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
-    assert [r.fields for r in arrivals(grib2.read_fields(spark, str(tmp_path))).collect()] == [4]
+    assert [r.fields for r in arrivals(gridded.read_fields(spark, str(tmp_path))).collect()] == [4]
     assert messages.grid_of(messages.parse(encode.message(np.arange(4.0), flat)).fields[0].grid)[0] == 4

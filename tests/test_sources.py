@@ -1,11 +1,11 @@
-"""Messages by round trips, framing, the format grib2 and streams."""
+"""Messages by round trips, framing, the format gridded and streams."""
 
 import os
 
 import numpy as np
 import pytest
 
-from isobar.sources import encode, grib2, layout, messages
+from isobar.sources import encode, gridded, layout, messages
 
 RNG = np.random.default_rng(4)
 GRID = encode.latlon(6, 4, 60_000_000, -10_000_000, 30_000_000, 40_000_000)
@@ -74,21 +74,21 @@ def test_sign_and_magnitude():
 
 def test_framing():
     good = one()
-    rows = list(grib2.field_rows("p", b"junkGRI" + good + b"xx" + b"GRIB\x00\x00\x0c\x01abcd" + several() + b"trailing"))
+    rows = list(gridded.field_rows("p", b"junkGRI" + good + b"xx" + b"GRIB\x00\x00\x0c\x01abcd" + several() + b"trailing"))
     assert [(r["msg_no"], r.get("field_no"), r["error"] is None) for r in rows] == [(0, 0, True), (1, None, False), (2, 0, True), (2, 1, True), (2, 2, True), (2, 3, True)]
     assert "edition 1" in rows[1]["error"]
-    cut = list(grib2.field_rows("p", good[:-6]))
+    cut = list(gridded.field_rows("p", good[:-6]))
     assert len(cut) == 1 and "cut short" in cut[0]["error"]
     wrong = good[:8] + (len(good) - 1).to_bytes(8, "big") + good[16:]
-    found = list(grib2.field_rows("p", wrong + good))
+    found = list(gridded.field_rows("p", wrong + good))
     assert "end mark" in found[0]["error"] and found[-1]["error"] is None
     damaged = bytearray(good)
     damaged[16 + 4] = 9
-    assert list(grib2.field_rows("p", bytes(damaged)))[0]["error"]
-    assert list(grib2.field_rows("p", bytes(damaged), "DROPMALFORMED")) == []
+    assert list(gridded.field_rows("p", bytes(damaged)))[0]["error"]
+    assert list(gridded.field_rows("p", bytes(damaged), "DROPMALFORMED")) == []
     with pytest.raises(messages.MessageError):
-        list(grib2.field_rows("p", bytes(damaged), "FAILFAST"))
-    assert list(grib2.field_rows("p", b"")) == list(grib2.field_rows("p", b"nothing")) == []
+        list(gridded.field_rows("p", bytes(damaged), "FAILFAST"))
+    assert list(gridded.field_rows("p", b"")) == list(gridded.field_rows("p", b"nothing")) == []
 
 
 def test_unknown_templates_pass_through():
@@ -96,49 +96,49 @@ def test_unknown_templates_pass_through():
     m.fields[0].grid = m.fields[0].grid[:7] + (12_345).to_bytes(2, "big") + b"any octets"
     m.fields[0].packing = m.fields[0].packing[:4] + (61).to_bytes(2, "big") + b"zz"
     content = messages.build(m)
-    rows = list(grib2.field_rows("p", content))
-    assert rows[0]["grid"] is None and rows[0]["packing"] is None and rows[0]["error"] is None and grib2.message_of(rows) == content
+    rows = list(gridded.field_rows("p", content))
+    assert rows[0]["grid"] is None and rows[0]["packing"] is None and rows[0]["error"] is None and gridded.message_of(rows) == content
     with pytest.raises(ValueError):
-        grib2.field_values(rows[0])
+        gridded.field_values(rows[0])
 
 
 def test_scanning_modes():
     v = np.arange(6.0)
     want = {0x00: [0, 1, 2, 3, 4, 5], 0x80: [2, 1, 0, 5, 4, 3], 0x40: [3, 4, 5, 0, 1, 2], 0x20: [0, 2, 4, 1, 3, 5], 0x10: [0, 1, 2, 5, 4, 3], 0xC0: [5, 4, 3, 2, 1, 0], 0x50: [5, 4, 3, 0, 1, 2], 0x30: [0, 3, 4, 1, 2, 5]}
     for mode, order in want.items():
-        assert grib2.canonical(v, mode, 3, 2).tolist() == order, hex(mode)
+        assert gridded.canonical(v, mode, 3, 2).tolist() == order, hex(mode)
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("files")
-    (d / "a.grib2").write_bytes(one() + several())
-    (d / "b.grib2").write_bytes(one("complex1") + b"GRIB\x00\x00\x08\x01" + one("ieee", 32))
+    (d / "a.grb").write_bytes(one() + several())
+    (d / "b.grb").write_bytes(one("complex1") + b"GRIB\x00\x00\x08\x01" + one("ieee", 32))
     return str(d)
 
 
 def test_read_decode_write(spark, folder, tmp_path):
-    fields = grib2.read_fields(spark, folder)
+    fields = gridded.read_fields(spark, folder)
     rows = fields.collect()
     assert len(rows) == 8 and sum(r.error is not None for r in rows) == 1
-    decoded = {(os.path.basename(r.path), r.msg_no, r.field_no): r for r in grib2.decode_fields(fields.where("error is null")).collect()}
+    decoded = {(os.path.basename(r.path), r.msg_no, r.field_no): r for r in gridded.decode_fields(fields.where("error is null")).collect()}
     assert all(r.decode_error is None and len(r["values"]) == 24 for r in decoded.values())
-    assert decoded[("a.grib2", 1, 1)]["values"][:4] == [None, 1.5, 1.5, None]
-    assert grib2.points_of(grib2.decode_fields(fields)).where("value is not null").count() == 7 * 24 - 16
-    back = {(os.path.basename(r.path), r.msg_no): bytes(r.content) for r in grib2.to_messages(fields).collect()}
-    whole = open(f"{folder}/a.grib2", "rb").read()
-    assert back[("a.grib2", 0)] + back[("a.grib2", 1)] == whole
-    grib2.register(spark)
-    grib2.to_messages(fields).write.format("grib2").mode("append").save(str(tmp_path / "out"))
-    again = spark.read.format("grib2").load(str(tmp_path / "out"))
+    assert decoded[("a.grb", 1, 1)]["values"][:4] == [None, 1.5, 1.5, None]
+    assert gridded.points_of(gridded.decode_fields(fields)).where("value is not null").count() == 7 * 24 - 16
+    back = {(os.path.basename(r.path), r.msg_no): bytes(r.content) for r in gridded.to_messages(fields).collect()}
+    whole = open(f"{folder}/a.grb", "rb").read()
+    assert back[("a.grb", 0)] + back[("a.grb", 1)] == whole
+    gridded.register(spark)
+    gridded.to_messages(fields).write.format("wmo-grib").mode("append").save(str(tmp_path / "out"))
+    again = spark.read.format("wmo-grib").load(str(tmp_path / "out"))
     assert again.count() == 7 and sorted(again.columns) == sorted(fields.columns)
-    assert sorted(bytes(r.content) for r in grib2.to_messages(again).collect()) == sorted(back.values())
-    assert spark.read.format("grib2").option("includeData", "false").load(folder).where("section7 is not null").count() == 0
+    assert sorted(bytes(r.content) for r in gridded.to_messages(again).collect()) == sorted(back.values())
+    assert spark.read.format("wmo-grib").option("includeData", "false").load(folder).where("section7 is not null").count() == 0
 
 
 def test_stream(spark, folder, tmp_path):
-    stream = grib2.stream_fields(spark, folder)
-    q = stream.groupBy("packing_template").count().writeStream.outputMode("complete").format("memory").queryName("grib2_stream").start()
+    stream = gridded.stream_fields(spark, folder)
+    q = stream.groupBy("packing_template").count().writeStream.outputMode("complete").format("memory").queryName("field_stream").start()
     q.processAllAvailable()
     q.stop()
-    assert sum(r["count"] for r in spark.table("grib2_stream").collect()) == 8
+    assert sum(r["count"] for r in spark.table("field_stream").collect()) == 8
