@@ -1,6 +1,8 @@
 """Classifiers by held-out accuracy, quality rules against brute force."""
 
+import functools
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -36,25 +38,111 @@ def test_base_counts():
     assert got == [brute_base(t) for t in ODD]
 
 
-def test_kneser_ney_sums_to_one_and_equals_definition():
-    texts = Texts(pa.array(["abab abac", "cab", "ééa ab", "ba"] * 3 + ["bcd"]))
-    code = perplexity.gram_codes(texts)
-    keys, n = np.unique(code, return_counts=True)
-    model = perplexity.KneserNey(keys, n)
-    context = int(perplexity.gram_codes(Texts(pa.array(["ab"])))[-1])
-    every = (context << 6 & 0xFFFFFF) + np.arange(64)
-    assert np.exp(model.log_probabilities(every.astype(np.uint64))).sum() == pytest.approx(1)
-    unseen = (60 << 18) + (61 << 12) + (62 << 6) + np.arange(64)
-    assert np.exp(model.log_probabilities(unseen.astype(np.uint64))).sum() == pytest.approx(1)
-    # The top level by its definition, with plain dictionaries.
-    top = {int(k): int(v) for k, v in zip(keys, n)}
-    d = model.discounts(n.astype(float))
-    g = int(code[3])
-    same = {k: v for k, v in top.items() if k >> 6 == g >> 6}
-    back = sum(d[min(v, 3)] for v in same.values()) / sum(same.values())
-    lower = np.exp(perplexity.KneserNey.log_probabilities(type("M", (), {"levels": model.levels[:3], "_look": staticmethod(model._look)})(), np.array([g], np.uint64)))[0]
-    want = (top[g] - d[min(top[g], 3)]) / sum(same.values()) + back * lower
-    assert np.exp(model.log_probabilities(np.array([g], np.uint64)))[0] == pytest.approx(want)
+def folded(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), re.sub("[0-9]", "0", re.sub("[\t-\r]", " ", text or "")))
+
+
+def brute_model(texts, order=perplexity.ORDER):
+    """The levels of the model as plain dictionaries, and the probability of an n-gram, with or without one of its occurrences."""
+    pad = "\0" * (order - 1)
+    grams = lambda t: [x[i : i + order] for x in [pad + folded(t)] for i in range(len(x) - order + 1)]
+    n = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        n[k] = Counter(g[1:] for g in n[k + 1])
+    follow = {k: {} for k in n}
+    for k, level in n.items():
+        for g, c in level.items():
+            follow[k].setdefault(g[:-1], Counter())[g] = c
+    d = {k: perplexity.discounts([sum(c == j for c in level.values()) for j in (1, 2, 3, 4)]) for k, level in n.items()}
+
+    def probability(g, left):
+        k = len(g)
+        if not k:
+            return 1 / (len(n[1]) + 1)
+        own = Counter(follow[k].get(g[:-1], {}))
+        gone = left and own[g] == 1
+        if left and own[g]:
+            own[g] -= 1
+        own = +own
+        lower = probability(g[1:], gone)
+        total = sum(own.values())
+        if not total:
+            return lower
+        return max(own[g] - d[k][min(own[g], 3)], 0) / total + sum(d[k][min(c, 3)] for c in own.values()) / total * lower
+
+    return grams, n[order], probability
+
+
+def code_of(g):
+    c = [0 if x == "\0" else ord(x) + 1 for x in g]
+    return c[0] << 21 | c[1], c[2] << 42 | c[3] << 21 | c[4]
+
+
+PROSE = ["the cat sat on the mat", "The Cat sat on 12 mats\tand 3 hats", "a dog and a cat", "die Katze saß auf der Matte", "日本語のテキスト 日本語", "κάτι άλλο κάτι", "", None, "the cat sat on the mat", "zzz zzz zzz"]
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    docs = spark.createDataFrame([(t,) for t in PROSE], "text string")
+    grams, counted, probability = brute_model(PROSE)
+    model = perplexity.fit(docs)
+    assert {(r.a, r.b): r.n for r in model.grams.collect()} == {code_of(g): c for g, c in counted.items()}
+    got = {(r.a, r.b): r for r in perplexity.probabilities(model.grams).collect()}
+    assert len(got) == len(counted)
+    for g in counted:
+        assert got[code_of(g)].p == pytest.approx(probability(g, False)) and got[code_of(g)].q == pytest.approx(probability(g, True))
+    # Over every character, met or not, the probabilities after a context sum up to one.
+    some = {x for g in counted for x in g} - {"\0"}
+    for context in ("the ", " cat", "zzz ", "\0\0\0\0"):
+        assert sum(probability(context + x, False) for x in some) + probability(context + "\ue000", False) == pytest.approx(1)
+    # N-grams that were not counted have probabilities too.
+    other = ["the cap sat", "новый"]
+    apart = perplexity.steps(model, spark.createDataFrame([(t,) for t in other], "text string"), "text").collect()
+    found = {(r.a, r.b): r.s for r in apart}
+    for g in {g for t in other for g in grams(t)} - set(counted):
+        assert abs(found[code_of(g)] + round(np.log(probability(g, False)) * 1024)) <= 1
+
+
+def brute_judge(docs):
+    """(kept, log_perplexity) by doc_id from (doc_id, lang, text)."""
+    grams, _, probability = brute_model([t for *_, t in docs])
+    cost = functools.cache(lambda g: round(-np.log(probability(g, True)) * 1024))
+    unspaced = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3004-\ufeff\uff10-\U0010ffff]"
+    per_word, measure = {}, {}
+    for i, _, t in docs:
+        words = len(re.findall(f"{unspaced}|[^\t-\r {unspaced[1:-1]}]+", t or ""))
+        per_word[i] = sum(map(cost, grams(t))) / 1024 / words if words else None
+        measure[i] = np.log(max(per_word[i], 1e-3)) if words else None
+
+    def quartiles(rows):
+        steps = sorted(round(x * 1024) for x in rows)
+        return [steps[-(-len(steps) * q // 4) - 1] / 1024 for q in (1, 3)]
+
+    everything = quartiles([x for x in measure.values() if x is not None])
+    kept = {}
+    for i, lang, t in docs:
+        own = [measure[j] for j, k, _ in docs if k == lang and lang is not None and measure[j] is not None]
+        q1, q3 = ((len(own) * x + 50 * y) / (len(own) + 50) for x, y in zip(quartiles(own), everything)) if own else everything
+        reach = 3 * max(q3 - q1, 0.02)
+        n, *_, again = brute_base(t)
+        kept[i] = not (n < 50 or 100 * again > 50 * n) and q1 - reach <= measure[i] <= q3 + reach
+    return kept, per_word
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(n))
+    docs = [(i, "en", text("etaoinsh", 60 + i % 40)) for i in range(40)] + [(100 + i, "el", text("αβγδεζη", 70)) for i in range(8)] + [(200 + i, "zh", text("日本語漢字仮名", 60)) for i in range(5)]
+    strange = "".join(map(chr, range(0x1200, 0x1680)))
+    docs += [(300, "en", text(strange, 80)), (301, "el", " ".join(strange[i : i + 30] for i in range(0, 1100, 20))), (302, None, text("etaoinsh", 55)), (303, "en", text("e", 60)), (304, "xx", docs[0][2]), (305, "en", docs[1][2]), (306, "en", docs[1][2])]
+    docs += [(400 + i, [None, "en"][i % 2], t) for i, t in enumerate([*ODD[:5], *ODD[6:]])]
+    kept, per_word = brute_judge(docs)
+    frame = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, lang string, text string, kept int, total int")
+    for limit in (perplexity.MODEL_BYTES, 0):
+        got = {r.doc_id: r for r in perplexity.judge_quality(frame, model_bytes=limit).collect()}
+        assert {i: r.kept for i, r in got.items()} == kept
+        for i, r in got.items():
+            assert r.log_perplexity == (None if per_word[i] is None else pytest.approx(per_word[i], abs=2e-2))
+    assert not kept[301] and kept[302] and sum(kept.values()) > 40
 
 
 def test_rules(spark):
@@ -64,7 +152,7 @@ def test_rules(spark):
     got = {r.doc_id: r for r in perplexity.judge_quality(docs, perplexity.fit(docs.where("doc_id < 200"))).collect()}
     assert len(got) == len(rows) and all(got[i].kept for i in range(60))
     assert not got[300].kept and not got[300].base_failed
-    assert got[100].perplexity is None and not got[100].kept and got[105].base_failed
+    assert got[100].log_perplexity is None and not got[100].kept and got[105].base_failed
     assert perplexity.judge_quality(docs.limit(0), perplexity.fit(docs.limit(0))).count() == 0
 
 
@@ -93,18 +181,10 @@ def test_order_of_words(spark):
     got = {r.doc_id: r for r in perplexity.judge_quality(docs, perplexity.fit(docs)).collect()}
     assert len(got) == len(rows) and np.mean([got[i].kept for i in [*range(120), *range(200, 320)]]) > 0.98
     assert not any(got[i].kept for i in (500, 501, 502, 503)) and not got[500].base_failed and not got[502].base_failed
-    assert got[503].word_perplexity is None
-    # The same texts, read apart from those that were counted, fare alike; new pairs count as unseen.
-    apart = {r.doc_id: r.word_perplexity for r in perplexity.judge_quality(docs.where("doc_id < 503"), perplexity.fit(docs)).collect()}
-    assert all(apart[i] == got[i].word_perplexity for i in apart)
-    other = perplexity.judge_quality(docs, perplexity.fit(docs.where("doc_id < 200"))).where("doc_id in (5, 210)").orderBy("doc_id").collect()
-    assert other[0].word_perplexity < other[1].word_perplexity
-
-
-def test_pairs_by_definition():
-    v, w, doc = perplexity.word_pairs(Texts(pa.array(["The cat, the CAT", "日本 x", None, "ไทย"])))
-    assert doc.tolist() == [0, 0, 0, 0, 1, 1, 1, 3, 3, 3] and v[0] == v[4] == v[7] == 0
-    assert w[0] == w[2] == v[1] and w[1] == w[3] == v[2] and v[5] == w[4] and len(set(w.tolist())) == 8
+    assert got[503].log_perplexity is None
+    # Texts that were not counted are judged by those that were.
+    other = {r.doc_id: r.log_perplexity for r in perplexity.judge_quality(docs, perplexity.fit(docs.where("doc_id < 200"))).collect()}
+    assert other[5] < other[210] and other[503] is None
 
 
 @tables
@@ -130,6 +210,71 @@ def test_rules_keep_good_documents(spark):
     assert held[held.quality == 0].kept.mean() < 0.5
 
 
+def test_quality_scores_equal_plain_votes(spark):
+    """Scores worked out anew from the labelled vectors, a document and a neighbour at a time."""
+    rng = np.random.default_rng(3)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(rng.integers(1, 40)))
+    docs = [(i, text("etaoinsh" if i % 2 else "qxzjk&%$")) for i in range(90)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(7, "two texts of one id"), (8, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)] + [(0, 1), (0, 1), (103, 0), (105, 1), (100, 0)], "doc_id long, quality int")
+    model = quality.fit(frame, labels, F.lit(True))
+
+    def terms(t):
+        t, out = re.sub("[0-9]", "0", t or ""), np.zeros(quality.TERMS)
+        for x, y, z in zip(t, t[1:], t[2:]):
+            code = (ord(x) * 0x85EBCA6B ^ ord(y) * 0xC2B2AE35 ^ ord(z) * 0x27D4EB2F) & 0xFFFFFFFF
+            code = ((code ^ code >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            out[(code >> 12) % (quality.TERMS - quality.MARKS)] += 1
+        return out
+
+    def score(t):
+        t = t or ""
+        counts, words = terms(t), t.encode().split()
+        for k in range(1, quality.MARKS + 1):
+            counts[-k] = 8 * sum(x == y for x, y in zip(words, words[k:]))
+        x = np.sqrt(counts / max(counts.sum(), 1))
+        z = ((x - model.mean) * model.scale) @ model.directions
+        z = z / max(np.linalg.norm(z), 1e-12)
+        near = sorted(((float(v @ z), i) for i, v in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 1e-3) ** quality.SHARPNESS * model.stands_for[i] for c, i in near]
+        vote = sum(w * model.y[i] for w, (_, i) in zip(weights, near)) / sum(weights)
+        return (len(t) * vote + quality.EVIDENCE * model.prior) / (len(t) + quality.EVIDENCE)
+
+    got = [(r.doc_id, r.text, r.score) for r in quality.score_quality(frame, model).collect()]
+    assert len(got) == len(docs) and all(s == pytest.approx(score(t), abs=2e-4) for _, t, s in got)
+
+
+def test_predicted_languages_equal_plain_kernels(spark):
+    rng = np.random.default_rng(4)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(rng.integers(1, 30)))
+    docs = [(i, text(["abcdef", "defghi", "αβγδ"][i % 3]), ["x", "y", "el"][i % 3]) for i in range(60)] + [(100 + i, t, None) for i, t in enumerate(ODD)] + [(200, "abc def", "x"), (200, "abc def", "x"), (201, "Éa ÉA", "y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.fit(frame, F.lit(True))
+
+    def grams(t):
+        t = re.sub("[^\\w]|[\\d_]", " ", (t or ""))
+        t = re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in t))
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    def code(g):
+        out = 0
+        for c in g:
+            out = out << 21 | (1 if c == " " else ord(c) + 1)
+        return out
+
+    # A landmark's column holds the root of its number of n-grams at each of its own.
+    columns = [{int(c) for c in model.grams[model.landmarks[:, k] > 0]} for k in range(model.landmarks.shape[1])]
+    for r in language.predict_language(frame, model, keep=("doc_id", "text")).collect():
+        own = {code(g) for g in grams(r.text)}
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        kernel = np.array([len(own & c) / np.sqrt(len(own) * len(c)) for c in columns])
+        out = kernel @ model.weights + model.bias
+        e = np.exp(language.STEEPNESS * (out - out.max()))
+        assert r.lang_pred == model.languages[int(out.argmax())] and r.score == pytest.approx(e.max() / e.sum(), abs=1e-3)
+
+
 def test_odd_texts(spark):
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else "fr", 5) for i, t in enumerate(ODD)] + [(None, "no id", None, 5)], "doc_id long, text string, lang string, score int")
     labels = spark.createDataFrame([(3, 1), (5, 0), (5, None), (77, 1), (None, 1)], "doc_id long, quality int")
