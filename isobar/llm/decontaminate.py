@@ -21,8 +21,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = 10
 #: Words of a hashed run, and runs of which the least is kept: K + WINDOW - 1 = SPAN.
 K, WINDOW = 4, 7
-#: Low bits of a kept hash that hold its position.
-PLACE = 26
+#: Low bits of a kept hash that hold its position. A string in a row has fewer than 2^31 octets, so fewer than 2^30 words, as each but the last has one after it.
+PLACE = 30
 
 
 def words_of(text: Column) -> Column:
@@ -132,7 +132,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     Words are runs of digits, letters and characters beyond ASCII, compared with A-Z lower-cased. A window is ``SPAN`` words in a row
     of an item; an item of fewer words, but not none, is one window. A null or empty text has no words; items with a null id or without words
-    have no windows. Repeated rows give repeated results, an empty benchmark no hits and empty documents no rows. Other columns are not read.
+    have no windows. Texts of any length are compared whole. Repeated rows give repeated results, an empty benchmark no hits and empty documents no rows. Other columns are not read.
 
     Texts are told apart by a digest, so of equal texts one is examined further. The benchmark's tables are broadcast only if their counted size allows.
     """

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobar.llm.components import components
-from isobar.llm.shared import small_or_not, written
+from isobar.llm.shared import hot_keys, join_by_key, small_or_not, written
 from isobar.llm.textarrays import Texts, chunks, distinct_pairs, mix, plain_words, shingles
 
 WORDS = 5
@@ -186,8 +186,8 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float) -> DataFra
     links, sizes = None, None
     for depth in range(1, DEPTH + 1):
         rows = written(split(frontier, depth, branch))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("least")).where("size > 1")
-        rows = written(rows.join(sizes, "path"))
+        sizes = written(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("least")).where("size > 1"))
+        rows = written(join_by_key(rows, sizes, "path", hot_keys(sizes, "path", "size")))
         fresh = compare_small(rows.where(F.col("size") <= SMALL).join(sets, "key"))
         links = fresh if links is None else links.unionByName(fresh)
         large = rows.where(F.col("size") > SMALL)
@@ -279,7 +279,7 @@ def jaccard_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     ``class_tie`` (that document's hash) and ``n_links`` (how many other distinct sets its set is linked to, at a similarity of ``threshold`` or more).
 
     Words are compared as in decontamination. A text of one to four words has one shingle of all of them; a null text, or one without words, has none, no links and a class of its own.
-    Null ids come last. Repeated rows share their class. Empty tables give empty results; other columns are not read. Similar pairs are found with probability ``recall`` at the threshold, and more surely above it;
+    Null ids come last. Repeated rows share their class. A text of any length has all its shingles in its set. Empty tables give empty results; other columns are not read. Similar pairs are found with probability ``recall`` at the threshold, and more surely above it;
     what is found is exact.
     """
     rows = documents.select(documents[doc_id].cast("long").alias("doc"), documents[text].cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))

@@ -29,10 +29,10 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pa
     return over.groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.08, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.08, min_pages: int = 2) -> DataFrame:
     """The pages with their boilerplate lines dropped from ``text``; adds ``n_lines`` (lines that aren't blank) and ``n_dropped``, which replace columns of these names.
 
-    A line is what lies between newlines, compared without the spaces around it; blank lines are neither counted nor dropped. A page that repeats a line counts once,
+    The ratio decides; ``min_pages``, two, only keeps what stands on one page of a host of few. A line is what lies between newlines, compared by a 64-bit hash without the spaces around it; blank lines are neither counted nor dropped. Texts and lines may be of any length. A page that repeats a line counts once,
     repeated rows are so many pages. Rows with a null host and null texts stay as they are (null texts count as pages without lines). Empty tables give empty results.
     """
     bad = small_or_not(written(boilerplate(pages, host, text, max_ratio, min_pages)))

@@ -34,8 +34,8 @@ REACH = 3.0
 SHRINK = 50
 #: The most that sorted arrays of the model may take in a worker; a larger model is joined.
 MODEL_BYTES = 64 << 20
-#: N-grams that a counting task holds before it passes them on.
-HELD = 1 << 20
+#: N-grams that a counting task holds before it passes them on, and code points of text that it takes at a time.
+HELD, PIECE = 1 << 18, 1 << 18
 #: Scripts written without spaces, of which each character counts as a word: from Thai to Lao, Myanmar, Khmer, and CJK, kana, Hangul and what follows.
 UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3000), (0x3004, 0xFF00), (0xFF10, 0x110000))
 #: Steps to which negative logarithms are rounded, so that sums in any order are equal.
@@ -100,7 +100,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=GRAMS.fieldNames())
 
         for batch in batches:
-            for _, texts in chunks(batch):
+            for _, texts in chunks(batch, most=PIECE):
                 a, b = gram_codes(texts)
                 _, first, which = distinct(gram_hashes(a, b))
                 held.append((a[first], b[first], np.bincount(which, minlength=len(first)).astype(np.int64)))
@@ -285,7 +285,7 @@ def measured(rows: DataFrame, arrays: Broadcast | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, most=PIECE):
                 counts = base_counts(texts)
                 total = pa.nulls(len(texts), pa.int64())
                 if arrays is not None:
@@ -304,7 +304,7 @@ def joined_totals(rows: DataFrame, table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, most=PIECE):
                 a, b = gram_codes(texts)
                 doc = np.repeat(np.arange(len(texts)), np.diff(texts.at))
                 _, first, which = distinct(mix(gram_hashes(a, b) ^ mix(doc.astype(np.uint64) + np.uint64(1))))

@@ -102,22 +102,6 @@ OP4_SQL = r"""
 with d as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
 n as (select source, count(*) as total from d group by source),
 l as (select source, line, count(*) as c from (select source, unnest(list_distinct([trim(x, ' ') for x in lines if trim(x, ' ') <> ''])) as line from d) group by all),
-bad as (select source, list(line) as bad from l join n using (source) where c >= 5 and c > total * 0.08 group by source),
-k as (select d.*, case when bad is null then lines else [x for x in lines if trim(x, ' ') = '' or not list_contains(bad, trim(x, ' '))] end as kept from d left join bad using (source))
-select doc_id, source, cast(len([x for x in lines if trim(x, ' ') <> '']) as bigint) as n_lines, cast(len(lines) - len(kept) as bigint) as n_dropped,
-       sha256(case when len(kept) = len(lines) then text else coalesce(array_to_string(kept, chr(10)), '') end) as text_sha256 from k
-"""
-
-
-def op4_line_dedup_every_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op4_line_dedup, but the ratio alone decides on lines of two pages or more, however few pages a host has."""
-    return drop_boilerplate(table(spark, sf_dir, "documents"), min_pages=2).select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
-
-
-OP4_EVERY_HOST_SQL = r"""
-with d as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
-n as (select source, count(*) as total from d group by source),
-l as (select source, line, count(*) as c from (select source, unnest(list_distinct([trim(x, ' ') for x in lines if trim(x, ' ') <> ''])) as line from d) group by all),
 bad as (select source, list(line) as bad from l join n using (source) where c >= 2 and c > total * 0.08 group by source),
 k as (select d.*, case when bad is null then lines else [x for x in lines if trim(x, ' ') = '' or not list_contains(bad, trim(x, ' '))] end as kept from d left join bad using (source))
 select doc_id, source, cast(len([x for x in lines if trim(x, ' ') <> '']) as bigint) as n_lines, cast(len(lines) - len(kept) as bigint) as n_dropped,
@@ -168,7 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
-    "op4_line_dedup_every_host": op4_line_dedup_every_host,
     "op5_token_file": op5_token_file,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
@@ -180,7 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
-    "op4_line_dedup_every_host": OP4_EVERY_HOST_SQL,
     "op6_url_filter": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
 }

@@ -58,6 +58,25 @@ def small_or_not(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if row_bytes(df) <= most else df.hint("merge")
 
 
+#: A key with more than one HOT-th of all rows is dealt out over SALTS groups where it is joined.
+HOT, SALTS = 500, 64
+
+
+def hot_keys(sizes: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The keys of (key, n), a written table, that hold more than one HOT-th of all rows; they are fewer than HOT, so they are broadcast."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    return F.broadcast(written(sizes.where(F.col(n) * HOT > total).select(F.col(key).alias("hot_key"))))
+
+
+def join_by_key(many: DataFrame, once: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The inner join of ``many`` with ``once``, which has each key once at most, by a shuffle. Rows of hot keys are dealt out by a hash of the row, and the single rows of ``once`` are copied to all groups."""
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.lit(SALTS)).cast("int")
+    left = many.join(hot, many[key] == hot["hot_key"], "left").withColumn("salt", F.when(F.col("hot_key").isNull(), F.lit(0)).otherwise(deal)).drop("hot_key")
+    everywhere = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    right = once.join(hot, once[key] == hot["hot_key"], "left").withColumn("salt", F.explode(everywhere)).drop("hot_key")
+    return left.join(right.hint("merge"), [key, "salt"]).drop("salt")
+
+
 def text_key(text: Column) -> Column:
     """128 bits that name a text."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobar.llm.shared import small_or_not, written
+from isobar.llm.shared import hot_keys, join_by_key, small_or_not, written
 from isobar.llm.textarrays import Texts, chunks, range_hashes, runs
 
 #: Words of repeated units in a row from which they are removed: half of a passage of fifty words, whose first and last units may be cut by its ends.
@@ -89,17 +89,21 @@ def unit_rows(rows: DataFrame) -> DataFrame:
 
 
 def repeated_runs(units: DataFrame, min_words: int) -> DataFrame:
-    """(rid, gone): for each text with some, its runs of repeated units (first, last) that reach ``min_words`` words, in order."""
-    repeated = written(units.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"))
+    """(rid, gone): for each text with some, its runs of repeated units (first, last) that reach ``min_words`` words, in order.
+
+    Of the occurrences of repeated units one digest may have a third, so the rows of frequent digests are dealt out in the joins.
+    """
+    repeated = written(units.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(repeated, "d")
     zipped = F.posexplode(F.arrays_zip("digests", "words")).alias("unit", "z")
     each = units.select("rid", zipped).select(F.col("z.digests").alias("d"), "rid", "unit", F.col("z.words").alias("words"))
     # These tables grow with the corpus: they are joined by shuffles at every size.
-    met = written(each.join(repeated.hint("merge"), "d"))
+    met = written(join_by_key(each, repeated.select("d"), "d", hot))
     # Only units that occur twice at least are ranked.
     of = units.select("rid", F.struct(F.col("doc").isNull().alias("last"), "doc", "key", "rid").alias("rank"))
     ranked = met.join(of.hint("merge"), "rid")
     first = ranked.groupBy("d").agg(F.min(F.struct("rank", "unit")).alias("first")).select("d", F.col("first.rank.rid").alias("f_rid"), F.col("first.unit").alias("f_unit"))
-    again = met.join(first.hint("merge"), "d").where("rid != f_rid or unit != f_unit").select("rid", "unit", "words")
+    again = join_by_key(met, first, "d", hot).where("rid != f_rid or unit != f_unit").select("rid", "unit", "words")
     island = again.withColumn("island", F.col("unit") - F.row_number().over(Window.partitionBy("rid").orderBy("unit")))
     found = island.groupBy("rid", "island").agg(F.min("unit").alias("first"), F.max("unit").alias("last"), F.sum("words").alias("n")).where(F.col("n") >= min_words)
     return found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
@@ -113,7 +117,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     written without spaces is one. A null text stays null and has no units, an empty one has none either; a text may be of any length. Texts are ranked by id (null last), then, if they share an id, by a digest of the text; of rows with the
     same id and text one comes first, and the others repeat all of it. Empty tables give empty results; other columns are not read.
 
-    A unit that very many documents share is summed up before each shuffle; it is then looked up in an inner join, whose skew the adaptive planner splits. Texts are not shuffled unless the runs to be removed are
+    A unit that very many documents share is summed up before each shuffle and dealt out by a salt where its rows are joined. Texts are not shuffled unless the runs to be removed are
     too many to broadcast.
     """
     key = F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")).cast("binary")))

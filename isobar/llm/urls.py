@@ -60,10 +60,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     if not shapes:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).toDF(*names)
     h, p = F.col("host"), F.col("path")
-    tries = [F.when((_labels(h) >= k) & (F.length(p) >= n) & (h != ""), _digest(F.substring_index(h, ".", -k), F.substring(p, 1, n))) for k, n in shapes]
+    # One function over an array of sizes, so that the plan stays small however many sizes rules have.
+    sizes = F.array(*[F.struct(F.lit(k).alias("labels"), F.lit(n).alias("reach")) for k, n in shapes])
+    suffix = lambda x: F.call_function("substring_index", h, F.lit("."), -x["labels"])
+    tries = F.transform(sizes, lambda x: F.when((_labels(h) >= x["labels"]) & (F.length(p) >= x["reach"]), _digest(suffix(x), F.substring(p, F.lit(1), x["reach"]))))
+    # URLs without a host, perhaps very many alike, need no join.
+    bare, rows = rows.where("host = ''"), rows.where("host != ''")
     found = (
         rows.select("host", "path").distinct()
-        .select("host", "path", F.explode(F.array_compact(F.array(*tries))).alias("digest"))
+        .select("host", "path", F.explode(F.array_compact(tries)).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX))
         .join(small_or_not(ready), "prefix")
         .where(F.col("digest") == F.col("full"))
@@ -71,5 +76,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
         .agg(F.max(F.struct(F.length("rule").alias("n"), "width", "rule", "rule_verdict")).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
     )
-    out = rows.join(found, ["host", "path"], "left")
+    out = rows.join(found, ["host", "path"], "left").unionByName(bare, allowMissingColumns=True)
     return out.select(*[f"k{i}" for i in range(len(keep))], "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict")).toDF(*names)

@@ -72,6 +72,27 @@ def test_groups(spark):
     assert max(n for *_, n in got) > 100
 
 
+def test_recall_by_band(spark):
+    """Pairs planted at similarities from the threshold on, hundreds in each band."""
+    rng = random.Random(17)
+    docs, planted = [], defaultdict(list)
+    for band, low, high in (("0.80", 0.8, 0.82), ("0.85", 0.84, 0.86), ("0.90", 0.89, 0.92)):
+        while len(planted[band]) < 300:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+            other = list(words)
+            for at in rng.sample(range(len(words)), rng.randint(1, 5)):
+                other[at] = f"v{rng.randrange(10**6)}"
+            a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+            if low <= len(a & b) / len(a | b) <= high:
+                planted[band].append((len(docs), len(docs) + 1))
+                docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    docs += [(len(docs), "long " + " ".join(f"w{i}" for i in range(150_000))), (len(docs) + 1, "long " + " ".join(f"w{i}" for i in range(149_000)))]
+    planted["long"].append((len(docs) - 2, len(docs) - 1))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    recall = {band: sum(got[a] == got[b] == (a, 1) for a, b in pairs) / len(pairs) for band, pairs in planted.items()}
+    assert min(recall.values()) >= 0.99, recall
+
+
 def test_empty(spark):
     assert jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
