@@ -172,7 +172,32 @@ def _grouped(x: np.ndarray, present: np.ndarray, with_missing: bool) -> list[tup
         keep[at + 1] = False
         low, high, length = low[keep], high[keep], length[keep]
     ends = np.cumsum(length)
-    return list(zip((ends - length).tolist(), ends.tolist(), strict=True))
+    return _shifted(x, present, list(zip((ends - length).tolist(), ends.tolist(), strict=True)), bits)
+
+
+def _shifted(x: np.ndarray, present: np.ndarray, groups: list[tuple[int, int]], bits) -> list[tuple[int, int]]:
+    """The groups with their borders moved: values at the border of a wide group go over to a narrower neighbour as long as they fit into its width, which saves the difference for each."""
+    big = np.int64(1) << 62
+    low, high = np.where(present, x, big), np.where(present, x, -big)
+    bounds = [lo for lo, _ in groups] + [groups[-1][1]]
+    span = [(int(low[a:b].min()), int(high[a:b].max())) for a, b in groups]
+    width = [int(bits(np.int64(lo), np.int64(hi))) for lo, hi in span]
+
+    def fit(k: int, part: slice) -> int:
+        """How many values at the beginning of a part of the field fit into group k, and its span then."""
+        lo, hi = np.minimum.accumulate(np.minimum(low[part], span[k][0])), np.maximum.accumulate(np.maximum(high[part], span[k][1]))
+        n = int((bits(lo, hi) <= width[k]).cumprod().sum())
+        if n:
+            span[k] = int(lo[n - 1]), int(hi[n - 1])
+        return n
+
+    for k in range(len(groups) - 1):
+        at = bounds[k + 1]
+        if width[k] < width[k + 1] and bounds[k + 2] - at > 1:
+            bounds[k + 1] = at + fit(k, slice(at, bounds[k + 2] - 1))
+        elif width[k] > width[k + 1] and at - bounds[k] > 1:
+            bounds[k + 1] = at - fit(k + 1, slice(at - 1, bounds[k], -1))
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
 
 
 def pack_complex(values: np.ndarray, bits: int, order: int = 0) -> tuple[bytes, dict]:
@@ -397,9 +422,9 @@ def pack_jpeg2000(values: np.ndarray, bits: int) -> tuple[bytes, dict]:
 UNPACK = {0: unpack_simple, 2: unpack_complex, 3: unpack_complex, 4: unpack_ieee, 40: unpack_jpeg2000, 41: unpack_png, 42: unpack_ccsds, 200: unpack_run_length}
 
 
-def unpack(number: int, data: bytes, t: dict, n: int) -> np.ndarray:
-    """The values of a data section by its template number."""
+def unpack(number: int, data: bytes, t: dict, n: int, substitute: bool = False) -> np.ndarray:
+    """The values of a data section by its template number. With ``substitute`` missing points of complex packing have the values that stand for them there."""
     number = {40000: 40, 41000: 41}.get(number, number)
     if number not in UNPACK:
         raise PackingError(f"data representation template {number} is not supported")
-    return UNPACK[number](data, t, n)
+    return unpack_complex(data, t, n, True) if substitute and number in (2, 3) else UNPACK[number](data, t, n)

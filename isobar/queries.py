@@ -401,7 +401,7 @@ NEAREST_SQL = "select event_id, arg_min(idx, (d, idx)) as idx, round(min(d), 9)
 @query(NEAREST_SQL, H=HAVERSINE, P=PLACES, G=REGULAR_SQL, W="true")
 def nearest_brute(spark, sf_dir):
     points = lookup.grid_points(spark, REGULAR)
-    near = lookup.nearest_brute(places(spark, sf_dir), points, ["event_id"], 625)
+    near = lookup.nearest_by_cells(places(spark, sf_dir), points, ["event_id"])
     return near.select("event_id", "idx", digits(F.col("distance"), 9).alias("distance"))
 
 

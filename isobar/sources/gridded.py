@@ -107,12 +107,12 @@ def number(group: str, name: str) -> Column:
     return F.col(group)[name].cast("long")
 
 
-def field_values(row: dict) -> np.ndarray:
-    """The values of a field's row, rows from north to south and columns from west to east; missing points are NaN."""
+def field_values(row: dict, substitute: bool = False) -> np.ndarray:
+    """The values of a field's row, rows from north to south and columns from west to east; missing points are NaN, or with ``substitute`` what stands for them in complex packing."""
     n, packing_no, numbers = messages.packing_of(row["section5"])
     if numbers is None:
         raise packings.PackingError(f"data representation template {packing_no} is not supported")
-    v = packings.unpack(packing_no, row["section7"], numbers, n)
+    v = packings.unpack(packing_no, row["section7"], numbers, n, substitute)
     if len(v) != n:
         raise packings.PackingError("the values are not as many as declared")
     points, grid_no, grid, _ = messages.grid_of(row["section3"])
@@ -154,10 +154,13 @@ def canonical(v: np.ndarray, mode: int, ni: int, nj: int) -> np.ndarray:
     return np.ascontiguousarray(grid).ravel()
 
 
-def decode_fields(fields: DataFrame, keep: tuple[str, ...] = ("path", "msg_no", "field_no")) -> DataFrame:
-    """(keep, values, decode_error): the values of every field, null for missing points. Only the sections that decoding needs are read; what cannot be decoded has an error."""
-    own = ["section3", "section5", "section7", "bitmap_indicator", "effective_bitmap", "error"]
-    source = fields.select(*keep, *own)
+#: What decoding needs of a field.
+DECODED_FROM = ("section3", "section5", "section7", "bitmap_indicator", "effective_bitmap", "error")
+
+
+def decode_fields(fields: DataFrame, keep: tuple[str, ...] = ("path", "msg_no", "field_no"), substitute: bool = False) -> DataFrame:
+    """(keep, values, decode_error): the values of every field, null for missing points, or with ``substitute`` what stands for them in complex packing. Only the sections that decoding needs are read; what cannot be decoded has an error."""
+    source = fields.select(*keep, *DECODED_FROM)
     schema = T.StructType([*[source.schema[k] for k in keep], T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("decode_error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +170,7 @@ def decode_fields(fields: DataFrame, keep: tuple[str, ...] = ("path", "msg_no",
                 values, error = None, row["error"]
                 if error is None:
                     try:
-                        values = field_values(row)
+                        values = field_values(row, substitute)
                     except ValueError as e:
                         error = str(e)
                 array = pa.array([None], pa.list_(pa.float64())) if values is None else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, mask=np.isnan(values)))

@@ -109,24 +109,30 @@ def test_space_view_below_the_camera(spark):
 def test_nearest_inside_equals_brute_force(spark):
     grid = geo.RegularGrid.of(36, 19, -90.0, 0.0, 90.0, 350.0, scan=0x40)
     q = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate([(89.2, 12), (-90, 77), (3.3, 355.1), (3.3, -4.9), (44.4, 179.9), (0, 5.001)])], "k int, q_lat double, q_lon double")
-    brute = {r.k: r.distance for r in lookup.nearest_brute(q, lookup.grid_points(spark, grid), ["k"], 36 * 19).collect()}
+    brute = {r.k: r.distance for r in lookup.nearest_by_cells(q, lookup.grid_points(spark, grid), ["k"]).collect()}
     direct = {r.k: r.near.d for r in lookup.nearest_direct(q, grid).collect()}
     assert direct == pytest.approx(brute, abs=1e-9)
-    with pytest.raises(ValueError):
-        lookup.nearest_brute(q, lookup.grid_points(spark, grid), ["k"], 10**9)
 
 
-def test_nearest_in_blocks(spark):
-    """Blocks of any size give what one search gives, ties across blocks too."""
-    grid = geo.RegularGrid.of(36, 19, -90.0, 0.0, 90.0, 350.0, scan=0x40)
-    q = spark.createDataFrame([(0, 89.2, 12.0), (1, -90.0, 77.0), (2, 3.3, 355.0), (3, 5.0, 5.0), (4, 0.0, 45.0)], "k int, q_lat double, q_lon double")
-    points = lookup.grid_points(spark, grid)
-    want = sorted(map(tuple, lookup.nearest_brute(q, points, ["k"], 36 * 19).collect()))
-    assert sorted(map(tuple, lookup.nearest_in_blocks(q, points, ["k"], 100).collect())) == want and len(want) == 5
-    assert lookup.nearest_in_blocks(q, points.limit(0), ["k"]).count() == 0
-    large = geo.RegularGrid.of(2000, 1001, 90.0, 0.0, -90.0, 359.82)
-    found = lookup.nearest_in_blocks(q.where("k = 1"), lookup.grid_points(spark, large), ["k"]).first()
-    assert found.lat == -90 and found.distance == 0
+def test_nearest_by_cells_equals_a_plain_search(spark, monkeypatch):
+    """Positions near and far, poles, seams and ties, on the whole Earth, a small area, one point and none."""
+    rng = np.random.default_rng(6)
+    places = [(89.2, 12.0), (-90.0, 77.0), (3.3, 355.0), (5.0, 5.0), (0.0, 45.0), (0.0, 180.0), *zip(rng.uniform(-90, 90, 40).tolist(), rng.uniform(-180, 360, 40).tolist())]
+    q = spark.createDataFrame([(k, k % 3, *map(float, p)) for k, p in enumerate(places)] + [(99, 0, None, 1.0)], "k int, j int, q_lat double, q_lon double")
+    whole = [(lat, lon) for lat in range(90, -91, -10) for lon in range(0, 360, 10)]
+    area = [(40 + i / 50, 10 + j / 50) for i in range(30) for j in range(40)]
+    for points in (whole, area, rng.uniform(-1, 1, (300, 2)).tolist(), [(7.0, 8.0)], []):
+        frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "idx long, lat double, lon double")
+        for limit in (1 << 26, 0):
+            monkeypatch.setattr(lookup, "POINT_BYTES", limit)
+            got = {(r.k, r.j): (r.idx, r.distance) for r in lookup.nearest_by_cells(q, frame, ["k", "j"]).collect()}
+            assert len(got) == (len(places) if points else 0)
+            for k, (lat, lon) in enumerate(places if points else []):
+                y, x = np.radians(np.array(points, float)).T
+                a = np.sin((y - np.radians(lat)) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(y) * np.sin((x - np.radians(lon)) / 2) ** 2
+                d = np.round(2 * np.arcsin(np.sqrt(np.minimum(a, 1))), 11)
+                idx, distance = got[(k, k % 3)]
+                assert distance == pytest.approx(d.min(), abs=1e-10) and d[idx] == d.min()
 
 
 def test_missing_corners_give_null(spark):
