@@ -200,14 +200,14 @@ def _shifted(x: np.ndarray, present: np.ndarray, groups: list[tuple[int, int]],
     return list(zip(bounds[:-1], bounds[1:], strict=True))
 
 
-def pack_complex(values: np.ndarray, bits: int, order: int = 0) -> tuple[bytes, dict]:
-    """Missing points (NaN) are marked within their groups. ``order`` 1 or 2 packs differences."""
+def pack_complex(values: np.ndarray, bits: int, order: int = 0, substitute: float = NAN) -> tuple[bytes, dict]:
+    """Missing points (NaN) are marked within their groups, and ``substitute`` is declared to stand for them. ``order`` 1 or 2 packs differences."""
     if order not in (0, 1, 2):
         raise PackingError(f"differences of order {order}")
     v = np.asarray(values, np.float64)
     s = choose(v, min(bits, 23), 63, missing_allowed=True)
     present = ~np.isnan(v)
-    common = {"splitting": 1, "missing": int(not present.all()), "primary": 0x7FC00000, "secondary": 0xFFFFFFFF, "length_step": 1}
+    common = {"splitting": 1, "missing": int(not present.all()), "primary": struct.unpack(">I", struct.pack(">f", substitute))[0], "secondary": 0xFFFFFFFF, "length_step": 1}
     empty = {"groups": 0, "width_reference": 0, "width_bits": 0, "length_reference": 0, "last_length": 0, "length_bits": 0}
     more = {"order": order, "extra_octets": 0} if order else {}
     if s.bits == 0 and present.all():
@@ -291,6 +291,29 @@ def unpack_run_length(data: bytes, t: dict, n: int) -> np.ndarray:
     return np.repeat(scaled[codes[starts]], length)
 
 
+def pack_run_length(values: np.ndarray, bits: int) -> tuple[bytes, dict]:
+    """Whole numbers below 2^16, or NaN, as levels and the lengths of their runs. The levels are those that occur."""
+    v = np.asarray(values, np.float64)
+    own = np.unique(v[~np.isnan(v)])
+    if len(own) and (own.min() < 0 or own.max() > 0xFFFF or (own != np.floor(own)).any()):
+        raise PackingError("run-length packing takes whole numbers of 16 bits")
+    base = (1 << bits) - 1 - len(own)
+    # The octets tell how many codes there are, so the last one's padding must be shorter than a code.
+    if not 8 <= bits <= 16 or base < 1 + (len(v) > 1):
+        raise PackingError(f"codes of {bits} bits for {len(own)} levels")
+    t = {"bits": bits, "max_level": len(own), "level_count": len(own), "decimal_scale": 0, "levels": own.astype(int).tolist()}
+    code = np.where(np.isnan(v), 0, np.searchsorted(own, np.nan_to_num(v)) + 1)
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    left = np.diff(np.append(start, len(code))) - 1
+    # Digits of the run's length less one, the lowest first.
+    columns, used = [code[start]], [np.ones(len(start), bool)]
+    while (left > 0).any():
+        columns.append(len(own) + 1 + left % base)
+        used.append(left > 0)
+        left = left // base
+    return packed(put(np.stack(columns, axis=1)[np.stack(used, axis=1)], bits)), t
+
+
 # ---- PNG
 
 MAGIC = b"\x89PNG\r\n\x1a\n"

@@ -111,6 +111,26 @@ TABLES: dict[str, str] = {
 160 Depth below sea level
 200 Entire atmosphere (considered as a single layer)
 255 Missing
+""",
+    "product definition template": """
+0 Analysis or forecast at a horizontal level or in a horizontal layer at a point in time
+1 Individual ensemble forecast, control and perturbed, at a horizontal level or in a horizontal layer at a point in time
+2 Derived forecasts based on all ensemble members at a horizontal level or in a horizontal layer at a point in time
+8 Average, accumulation, extreme values or other statistically processed values at a horizontal level or in a horizontal layer in a continuous or non-continuous time interval
+11 Individual ensemble forecast, control and perturbed, at a horizontal level or in a horizontal layer, in a continuous or non-continuous time interval
+12 Derived forecasts based on all ensemble members at a horizontal level or in a horizontal layer, in a continuous or non-continuous time interval
+65535 Missing
+""",
+    "data representation template": """
+0 Grid point data - simple packing
+2 Grid point data - complex packing
+3 Grid point data - complex packing and spatial differencing
+4 Grid point data - IEEE floating point data
+40 Grid point data - JPEG 2000 code stream format
+41 Grid point data - Portable Network Graphics (PNG)
+42 Grid point data - CCSDS recommended lossless compression
+200 Run length packing with level values
+65535 Missing
 """,
     "grid definition template": """
 0 Latitude/longitude (equidistant cylindrical, or Plate Carree)
@@ -136,6 +156,31 @@ PARAMETERS = """
 0 3 5 Geopotential height|gpm
 0 6 1 Total cloud cover|%
 """
+#: Discipline, category and the category's name.
+CATEGORIES = """
+0 0 Temperature
+0 1 Moisture
+0 2 Momentum
+0 3 Mass
+0 4 Short-wave radiation
+0 5 Long-wave radiation
+0 6 Cloud
+0 7 Thermodynamic stability indices
+0 13 Aerosols
+0 14 Trace gases
+0 15 Radar
+0 16 Forecast radar imagery
+0 17 Electrodynamics
+0 19 Physical atmospheric properties
+1 0 Hydrology basic products
+1 1 Hydrology probabilities
+2 0 Vegetation/biomass
+2 3 Soil products
+10 0 Waves
+10 1 Currents
+10 2 Ice
+10 3 Surface properties
+"""
 #: The same for parameters that centre 7 defines itself.
 LOCAL_PARAMETERS = """
 0 1 192 Categorical Rain|-
@@ -174,9 +219,29 @@ def wmo_parameters(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(key(1).alias("discipline"), key(2).alias("category"), F.regexp_extract("value", pattern, 1).cast("int").alias("number"), F.regexp_extract("value", pattern, 2).alias("name"), F.regexp_extract("value", pattern, 3).alias("unit"))
 
 
-def with_name(df: DataFrame, code: str, table: str, out: str) -> DataFrame:
-    """Adds the name of a code, or what says that it is unknown."""
-    names = code_table(df.sparkSession, table).toDF("_code", "_name")
+def wmo_codes(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """(code, name) of a table file of a folder of WMO tables, such as ``4.5``; lines are code, code or abbreviation, description. Ranges of codes have no name."""
+    lines = spark.read.text(f"{folder}/{table}.table").where("value rlike '^[0-9]+ '")
+    pattern = r"^(\d+) +\S+ +(.*?) *$"
+    return lines.select(F.regexp_extract("value", pattern, 1).cast("int").alias("code"), F.regexp_extract("value", pattern, 2).alias("name"))
+
+
+def category_table(spark: SparkSession, text: str = CATEGORIES) -> DataFrame:
+    """(discipline, category, name) of parameter categories in plain text."""
+    rows = [line.split(" ", 2) for line in text.strip().splitlines()]
+    return spark.createDataFrame([(int(d), int(c), n) for d, c, n in rows], "discipline int, category int, name string")
+
+
+def with_category(df: DataFrame, out: str = "category_name", categories: DataFrame | None = None) -> DataFrame:
+    """Adds the name of the category for (discipline, category), or what says that it is unknown."""
+    named = (categories if categories is not None else category_table(df.sparkSession)).toDF("_d", "_c", "_name")
+    unknown = F.format_string("Unknown parameter category (%d, %d)", F.col("discipline"), F.col("category"))
+    return df.join(F.broadcast(named), (F.col("discipline") == F.col("_d")) & (F.col("category") == F.col("_c")), "left").withColumn(out, F.coalesce("_name", unknown)).drop("_d", "_c", "_name")
+
+
+def with_name(df: DataFrame, code: str, table: str, out: str, names: DataFrame | None = None) -> DataFrame:
+    """Adds the name of a code, of a built-in table or of ``names`` (code, name), or what says that it is unknown."""
+    names = (names if names is not None else code_table(df.sparkSession, table)).toDF("_code", "_name")
     return df.join(F.broadcast(names), F.col(code) == F.col("_code"), "left").withColumn(out, F.coalesce("_name", F.format_string(f"Unknown {table} (%d)", F.col(code)))).drop("_code", "_name")
 
 
@@ -208,6 +273,12 @@ def surface_value(scale: Column, value: Column) -> Column:
     return F.when(value == 0xFFFFFFFF, None).when((scale == -127) | (scale == 0), v).when(scale > 0, v / power).otherwise(v * power)
 
 
+def surface_value_hpa(kind: Column, scale: Column, value: Column) -> Column:
+    """The level of a surface, that of an isobaric one (type 100) in hectopascals."""
+    level = surface_value(scale, value)
+    return F.when(kind == 100, level / 100).otherwise(level)
+
+
 def reference_time(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
     """The time, with parts beyond their range carried over; null for no year."""
     start = F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))

@@ -105,3 +105,20 @@ def fingerprint(points: DataFrame, field: list[str], index: str, value: str, ref
     x = F.round((F.col(value) * F.pow(F.lit(10.0), F.col(decimal)) - F.col(reference).cast("double")) * F.pow(F.lit(2.0), -F.col(scale))).cast("long")
     rows = points.withColumn("_x", F.struct(F.col(index), F.coalesce(x.cast("string"), F.lit("")).alias("x")))
     return rows.groupBy(*field).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("_x")), lambda s: s["x"]), ","), 256).alias("fingerprint"), F.count("*").alias("n"), F.count(value).alias("n_present"))
+
+
+def statistics(points: DataFrame, field: list[str], value: str) -> DataFrame:
+    """Per field: points ``n``, those that aren't missing ``n_present``, ``least``, ``greatest`` and ``mean``."""
+    return points.groupBy(*field).agg(F.count("*").alias("n"), F.count(value).alias("n_present"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))
+
+
+def bitmap_fits(points: DataFrame, field: list[str], bit: str, packed: DataFrame) -> DataFrame:
+    """Per field whether its bit map has as many bits set as there are packed values (field, n_values), as it must: adds ``n_points``, ``n_values`` and ``fits``."""
+    set_bits = points.groupBy(*field).agg(F.count("*").alias("n_points"), F.sum(F.col(bit).cast("long")).alias("n_bits"))
+    met = set_bits.join(packed, field, "left").withColumn("n_values", F.coalesce("n_values", F.lit(0).cast("long")))
+    return met.select(*field, "n_points", "n_values", (F.col("n_bits") == F.col("n_values")).alias("fits"))
+
+
+def strongest(points: DataFrame, k: int, value: str, order: list[str]) -> DataFrame:
+    """The k greatest values of all fields, ties in the order of the other columns; each task passes on k rows at most."""
+    return points.where(F.col(value).isNotNull()).orderBy(F.desc(value), *order).limit(k)

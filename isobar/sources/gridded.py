@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
 from isobar.codecs import packings
 from isobar.sources import layout, messages
@@ -37,32 +37,49 @@ def _numbers(values: dict | None) -> dict | None:
     return None if values is None else {k: float(v) for k, v in values.items() if not isinstance(v, list)}
 
 
-def field_rows(path: str, content: bytes, mode: str = "PERMISSIVE", data: bool = True) -> Iterator[dict]:
-    """One row per field of all messages of some bytes; without ``data`` the packed values are left out."""
-    for number, (at, n, error) in enumerate(messages.find_messages(content)):
+def field_rows(path: str, source: bytes | messages.Octets | messages.Ranges, mode: str = "PERMISSIVE", data: bool = True, wanted: Callable[[dict], bool] | None = None, first: bool = False) -> Iterator[dict]:
+    """One row per field of all messages of some octets, or of the first message only; without ``data`` the packed values are left out, and of ranges not even read. ``wanted`` tells from a row without its data whether it is asked for."""
+    source = messages.Octets(bytes(source)) if isinstance(source, bytes | bytearray) else source
+    for number, (at, n, error) in enumerate(messages.find_messages(source)):
         base = {"path": path, "msg_no": number, "byte_offset": at, "total_length": n}
         rows: list[dict] = []
         if error is None:
             try:
-                m = messages.parse(content[at : at + n])
-                identification = _numbers(layout.read(layout.SECTION1, m.identification))
-                for k, f in enumerate(m.fields):
-                    points, grid_no, grid, _ = messages.grid_of(f.grid)
-                    product_no, product, _ = messages.product_of(f.product)
-                    values, packing_no, packing = messages.packing_of(f.packing)
-                    rows.append({
-                        **base, "field_no": k, "discipline": m.discipline, "identification": identification, "grid_template": grid_no, "n_points": points, "grid": _numbers(grid), "product_template": product_no,
-                        "product": _numbers(product), "packing_template": packing_no, "n_values": values, "packing": _numbers(packing), "bitmap_indicator": f.bitmap_indicator, "shares_grid": f.shares_grid, "own_local": f.own_local,
-                        "reserved": m.reserved, "section1": m.identification, "message_local": m.local, "section2": f.local, "section3": f.grid, "section4": f.product, "section5": f.packing,
-                        "bitmap": f.bitmap, "effective_bitmap": f.effective, "section7": f.data if data else None, "error": None,
-                    })
+                # A message that nobody asks for is not read whole.
+                light = not data or wanted is not None
+                rows = _rows_of(base, messages.parse(messages.without_data(source, at, n) if light else source.read(at, n)))
+                if wanted is not None:
+                    rows = [r for r in rows if wanted(r)]
+                if data and light and rows:
+                    whole = _rows_of(base, messages.parse(source.read(at, n)))
+                    rows = [whole[r["field_no"]] for r in rows]
+                elif not data:
+                    rows = [{**r, "section7": None} for r in rows]
             except ValueError as e:
                 error, rows = str(e), []
         if error is not None:
             if mode == "FAILFAST":
                 raise messages.MessageError(f"{path}, octet {at}: {error}")
             rows = [{**base, "error": error}] if mode == "PERMISSIVE" else []
+            rows = [r for r in rows if wanted is None or wanted(r)]
         yield from rows
+        if first:
+            return
+
+
+def _rows_of(base: dict, m: messages.Message) -> list[dict]:
+    identification, rows = _numbers(layout.read(layout.SECTION1, m.identification)), []
+    for k, f in enumerate(m.fields):
+        points, grid_no, grid, _ = messages.grid_of(f.grid)
+        product_no, product, _ = messages.product_of(f.product)
+        values, packing_no, packing = messages.packing_of(f.packing)
+        rows.append({
+            **base, "field_no": k, "discipline": m.discipline, "identification": identification, "grid_template": grid_no, "n_points": points, "grid": _numbers(grid), "product_template": product_no,
+            "product": _numbers(product), "packing_template": packing_no, "n_values": values, "packing": _numbers(packing), "bitmap_indicator": f.bitmap_indicator, "shares_grid": f.shares_grid, "own_local": f.own_local,
+            "reserved": m.reserved, "section1": m.identification, "message_local": m.local, "section2": f.local, "section3": f.grid, "section4": f.product, "section5": f.packing,
+            "bitmap": f.bitmap, "effective_bitmap": f.effective, "section7": f.data, "error": None,
+        })
+    return rows
 
 
 def _batch(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
@@ -223,35 +240,56 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
 
 
+#: Columns that the reader compares itself, before it reads any data.
+PLAIN = ("path", "msg_no", "field_no", "byte_offset", "total_length", "discipline", "grid_template", "n_points", "product_template", "packing_template", "n_values", "bitmap_indicator")
+COMPARED = {
+    EqualTo: lambda x, f: x == f.value, In: lambda x, f: x in f.value, GreaterThan: lambda x, f: x > f.value, GreaterThanOrEqual: lambda x, f: x >= f.value, LessThan: lambda x, f: x < f.value, LessThanOrEqual: lambda x, f: x <= f.value,
+    StringStartsWith: lambda x, f: x.startswith(f.value),
+}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.mode = options["path"], options.get("mode", "PERMISSIVE").upper()
         self.data = options.get("includedata", "true").lower() != "false"
+        self.first = options.get("firstonly", "false").lower() == "true"
+        self.filters: list[Filter] = []
         if self.mode not in MODES:
             raise ValueError(f"mode {self.mode}")
 
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f) in COMPARED and len(f.attribute) == 1 and f.attribute[0] in PLAIN:
+                self.filters.append(f)
+            else:
+                yield f
+
+    def _wanted(self, row: dict) -> bool:
+        """Null compares as not true, as in SQL."""
+        return all((x := row.get(f.attribute[0])) is not None and COMPARED[type(f)](x, f) for f in self.filters)
+
     def partitions(self):
         from pyarrow import fs
 
         system, at = _open(self.path)
         info = system.get_file_info(at)
-        if info.type == fs.FileType.File:
-            return [_File(self.path)]
-        found = system.get_file_info(fs.FileSelector(at, recursive=True))
-        return [_File(f.path) for f in found if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", "."))]
+        paths = [self.path] if info.type == fs.FileType.File else [f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", "."))]
+        own = [f for f in self.filters if f.attribute[0] == "path"]
+        return [_File(p) for p in paths if all(COMPARED[type(f)](p, f) for f in own)]
 
     def read(self, partition):
         system, at = _open(partition.path)
         with system.open_input_file(at) as f:
-            content = f.read()
-        rows = []
-        for row in field_rows(partition.path, content, self.mode, self.data):
-            rows.append(row)
-            if len(rows) >= 64:
+            source = messages.Ranges(f, f.size())
+            rows, octets = [], 0
+            for row in field_rows(partition.path, source, self.mode, self.data, self._wanted if self.filters else None, self.first):
+                rows.append(row)
+                octets += len(row.get("section7") or b"")
+                if len(rows) >= 256 or octets > 32 << 20:
+                    yield _batch(rows, FIELDS)
+                    rows, octets = [], 0
+            if rows:
                 yield _batch(rows, FIELDS)
-                rows = []
-        if rows:
-            yield _batch(rows, FIELDS)
 
 
 class _Writer(DataSourceWriter):
@@ -295,7 +333,7 @@ class _Writer(DataSourceWriter):
 
 
 class GriddedMessages(DataSource):
-    """``spark.read.format("wmo-grib").load(path)``, with the options ``mode`` and ``includeData``; ``df.write.format("wmo-grib").save(path)`` for rows with ``content``."""
+    """``spark.read.format("wmo-grib").load(path)``, with the options ``mode``, ``includeData`` (without, data are not read) and ``firstOnly`` (the first message of each file). Comparisons of plain columns are pushed into the scan: files are left out by their path, and data of other messages are not read. ``df.write.format("wmo-grib").save(path)`` for rows with ``content``."""
 
     @classmethod
     def name(cls):
@@ -311,5 +349,20 @@ class GriddedMessages(DataSource):
         return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
+class Messages:
+    """The fields of a message's octets as a table function, for SQL: ``SELECT m.* FROM files, LATERAL messages(path, content) m``."""
+
+    def eval(self, path: str, content: bytes):
+        for r in field_rows(path or "", bytes(content or b""), data=False):
+            yield tuple(r.get(c) for c in TABLE_FUNCTION)
+
+
+#: The columns of the table function.
+TABLE_FUNCTION = ("msg_no", "field_no", "byte_offset", "total_length", "discipline", "grid_template", "n_points", "product_template", "packing_template", "n_values", "bitmap_indicator", "error")
+
+
 def register(spark: SparkSession) -> None:
+    """Adds the format ``wmo-grib`` and the table function ``messages``, and lets the session push comparisons into scans of such formats, without which Spark refuses a reader that takes them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GriddedMessages)
+    spark.udtf.register("messages", F.udtf(Messages, returnType=T.StructType([FIELDS[c] for c in TABLE_FUNCTION])))

@@ -43,29 +43,93 @@ class Message:
     fields: list[FieldSections] = field(default_factory=list)
 
 
-def find_messages(content: bytes) -> Iterator[tuple[int, int, str | None]]:
+class Octets:
+    """Octets in memory, read by ranges."""
+
+    def __init__(self, content: bytes):
+        self.content, self.size = content, len(content)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.content[at : at + n]
+
+    def find(self, mark: bytes, at: int) -> int:
+        return self.content.find(mark, at)
+
+
+class Ranges:
+    """A file that can be sought, read by ranges; ``octets_read`` counts what was asked for. Small reads are served from windows."""
+
+    WINDOW, SCAN = 4096, 1 << 20
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.octets_read = file, size, 0
+        self.start, self.held = 0, b""
+
+    def _fetch(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        out = self.file.read(max(0, min(n, self.size - at)))
+        self.octets_read += len(out)
+        return out
+
+    def read(self, at: int, n: int) -> bytes:
+        if n > self.WINDOW:
+            return self._fetch(at, n)
+        if not (self.start <= at and at + n <= self.start + len(self.held)):
+            self.start, self.held = at, self._fetch(at, self.WINDOW)
+        return self.held[at - self.start : at - self.start + n]
+
+    def find(self, mark: bytes, at: int) -> int:
+        # Mostly it stands right here, or near.
+        window = self.WINDOW
+        while at < self.size:
+            if self.read(at, len(mark)) == mark:
+                return at
+            part = self._fetch(at, window)
+            window = min(2 * window, self.SCAN)
+            k = part.find(mark)
+            if k >= 0:
+                return at + k
+            at += max(len(part) - len(mark) + 1, 1)
+        return -1
+
+
+def find_messages(source: bytes | Octets | Ranges) -> Iterator[tuple[int, int, str | None]]:
     """(offset, length, error) of each message. What lies between messages is passed over; messages of the first edition are skipped with an error."""
-    at = content.find(MAGIC)
+    source = Octets(source) if isinstance(source, bytes | bytearray) else source
+    at = source.find(MAGIC, 0)
     while at >= 0:
-        head = content[at : at + 16]
+        head = source.read(at, 16)
         if len(head) < 8:
-            yield at, len(content) - at, "the message is cut short"
+            yield at, source.size - at, "the message is cut short"
             return
         if head[7] != 2:
             n = max(int.from_bytes(head[4:7], "big"), 8)
             yield at, n, f"edition {head[7]}, not 2"
         else:
             n = int.from_bytes(head[8:16], "big") if len(head) == 16 else 1 << 63
-            if at + n > len(content):
+            if at + n > source.size:
                 # The rest may still hold whole messages.
-                yield at, len(content) - at, "the message is cut short"
+                yield at, source.size - at, "the message is cut short"
                 n = 4
-            elif n < 20 or content[at + n - 4 : at + n] != END:
+            elif n < 20 or source.read(at + n - 4, 4) != END:
                 yield at, n, "the declared length does not lead to an end mark"
                 n = 4
             else:
                 yield at, n, None
-        at = content.find(MAGIC, at + n)
+        at = source.find(MAGIC, at + n)
+
+
+def without_data(source: Octets | Ranges, at: int, n: int) -> bytes:
+    """A message whose data sections are empty; their octets are not read."""
+    out, place = [source.read(at, 16)], at + 16
+    while place < at + n - 4:
+        head = source.read(place, 5)
+        size = int.from_bytes(head[:4], "big")
+        if len(head) < 5 or size < 5 or place + size > at + n - 4:
+            raise MessageError("a section's length makes no sense")
+        out.append(section(7, b"") if head[4] == 7 else source.read(place, size))
+        place += size
+    return b"".join([*out, END])
 
 
 def sections(content: bytes, at: int, end: int) -> Iterator[tuple[int, bytes]]:

@@ -136,6 +136,71 @@ def test_read_decode_write(spark, folder, tmp_path):
     assert spark.read.format("wmo-grib").option("includeData", "false").load(folder).where("section7 is not null").count() == 0
 
 
+def test_overwrite_replaces_files(spark, folder, tmp_path):
+    gridded.register(spark)
+    out = str(tmp_path / "out")
+    content = gridded.to_messages(gridded.read_fields(spark, folder))
+    for _ in range(2):
+        content.write.format("wmo-grib").mode("overwrite").save(out)
+    assert spark.read.format("wmo-grib").load(out).count() == 7
+    content.write.format("wmo-grib").mode("append").save(out)
+    assert spark.read.format("wmo-grib").load(out).count() == 14
+
+
+def test_ranges_read_only_what_is_asked_for(tmp_path):
+    big = encode.message(RNG.normal(0, 1, 200_000), encode.latlon(200_000, 1, 0, 0, 0, 1_000_000), "ieee", 64)
+    small = one()
+    content = b"junkGRI" + big + b"GRIB\x00\x00\x0c\x01abcd" + small + big + b"trailing GRIB"
+    (tmp_path / "x").write_bytes(content)
+
+    def rows(data, wanted=None, first=False):
+        with open(tmp_path / "x", "rb") as f:
+            source = messages.Ranges(f, len(content))
+            return list(gridded.field_rows("p", source, "PERMISSIVE", data, wanted, first)), source.octets_read
+
+    whole = list(gridded.field_rows("p", content))
+    assert rows(True)[0] == whole and len(whole) == 5
+    found, octets = rows(False)
+    assert found == [{**r, "section7": None} if r["error"] is None else r for r in whole] and octets < 80_000 < len(content)
+    some, octets = rows(True, lambda r: r.get("n_points") == 24)
+    assert some == [whole[2]] and octets < 80_000
+    assert rows(True, first=True)[0] == whole[:1]
+
+
+def test_filters_are_pushed(spark, folder):
+    gridded.register(spark)
+    read = spark.read.format("wmo-grib").load(folder)
+    some = read.where("packing_template = 3 and n_points > 3 and byte_offset % 1 = 0")
+    assert [r.packing_template for r in some.collect()] == [3] and read.where("error is not null").count() == 1
+    assert read.where("path like '%a.grb'").count() == 5
+    reader = gridded._Reader({"path": folder})
+    from pyspark.sql.datasource import EqualTo, IsNull
+
+    kept = list(reader.pushFilters([EqualTo(("path",), f"{folder}/b.grb"), IsNull(("error",)), EqualTo(("grid", "ni"), 1)]))
+    assert len(kept) == 2 and [p.path for p in reader.partitions()] == [f"{folder}/b.grb"]
+    assert spark.read.format("wmo-grib").option("firstOnly", "true").load(folder).count() == 2
+
+
+def test_table_function(spark, folder):
+    gridded.register(spark)
+    spark.read.format("binaryFile").load(folder).createOrReplaceTempView("files")
+    rows = spark.sql("select m.* from files, lateral messages(path, content) m where m.error is null").collect()
+    assert len(rows) == 7 and {r.n_points for r in rows} == {24}
+
+
+def test_fields_that_differ_in_any_section_are_two(spark, tmp_path):
+    from isobar.streaming.fields import each_once
+
+    v = np.arange(24.0)
+    mapped = np.where(v == 3, np.nan, v)
+    content = [one(values=v, packing="ieee"), one(values=v, packing="ieee", discipline=10), one(values=v, packing="ieee", identification={**encode.IDENTIFICATION, "centre": 7}), one(values=mapped, packing="ieee"), one(values=np.where(v == 4, np.nan, np.where(v == 3, 4, mapped)), packing="ieee"), one(values=v, packing="ieee")]
+    (tmp_path / "a").write_bytes(b"".join(content))
+    q = each_once(gridded.stream_fields(spark, str(tmp_path))).select("msg_no").writeStream.format("memory").queryName("every_section").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("every_section").count() == 5
+
+
 def test_stream(spark, folder, tmp_path):
     stream = gridded.stream_fields(spark, folder)
     q = stream.groupBy("packing_template").count().writeStream.outputMode("complete").format("memory").queryName("field_stream").start()
