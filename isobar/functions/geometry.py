@@ -200,11 +200,19 @@ class RegularGrid:
         ok = (fj >= 0) & (fj <= self.nj - 1)
         return ok if self.round_the_world else ok & (fi >= 0) & (fi <= self.ni - 1)
 
-    def nearest(self, lat: Column, lon: Column) -> Column:
-        """(d, k, idx, lat, lon) of the nearest of the four points around, the first of equals; for positions inside."""
+    def nearest(self, lat: Column, lon: Column, local: tuple[Column, Column] | None = None, back=None) -> Column:
+        """(d, k, idx, lat, lon) of the nearest of the four points around, the first of equals; for positions inside. On a rotated grid ``local`` is the position there, and ``back`` leads to true coordinates, which distances are taken between."""
         within = lambda n: lambda x: F.greatest(F.lit(0), F.least(x, F.lit(n - 1)))
         column = (lambda i: F.pmod(i, F.lit(self.ni))) if self.round_the_world else within(self.ni)
-        return nearest_of_four(position(self.column_of(lon), self.row_of(lat)), within(self.nj), column, lambda j, i: (self.latitude(j), self.longitude(i)), self.ni, lat, lon, ("k",))
+        y, x = local or (lat, lon)
+
+        def place(j: Column, i: Column) -> tuple[Column, Column]:
+            if back is None:
+                return self.latitude(j), self.longitude(i)
+            true_lat, true_lon = back(self.latitude(j), self.longitude(i))
+            return true_lat, into_circle(true_lon)
+
+        return nearest_of_four(position(self.column_of(x), self.row_of(y)), within(self.nj), column, place, self.ni, lat, lon, ("k",))
 
 
 def rotate(lat: Column, lon: Column, pole_lat: float, pole_lon: float, angle: float = 0.0) -> tuple[Column, Column]:

@@ -148,13 +148,8 @@ def nearest_points(queries: DataFrame, template: int, g: dict, key: list[str], r
         fi, fj = grid.position(*local)
         inside, ni, nj = F.coalesce((fi >= 0) & (fj >= 0) & (fi <= grid.nx - 1) & (fj <= grid.ny - 1), F.lit(False)), grid.nx, grid.ny
     marked = queries.withColumn("inside", inside)
-    found = grid.nearest(*local)
-    here = marked.where("inside").withColumn("n", found)
-    y, x = (F.col("n.lat"), F.col("n.lon"))
-    if geometry.back:
-        y, x = geometry.back(y, x)
-        x = geo.into_circle(x)
-    here = here.select(*key, F.struct(F.col("n.idx").cast("long").alias("idx"), y.alias("near_lat"), x.alias("near_lon"), F.col("n.d").alias("distance")).alias("near"))
+    found = grid.nearest(lat, lon, local, geometry.back) if isinstance(grid, geo.RegularGrid) else grid.nearest(*local)
+    here = marked.where("inside").withColumn("n", found).select(*key, F.struct(F.col("n.idx").cast("long").alias("idx"), F.col("n.lat").alias("near_lat"), F.col("n.lon").alias("near_lon"), F.col("n.d").alias("distance")).alias("near"))
     edge = _edge(coordinates(spark, template, g), ni, nj)
     return here.unionByName(near(lookup.nearest_by_cells(marked.where("not inside"), edge, key)))
 

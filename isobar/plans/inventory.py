@@ -67,6 +67,6 @@ def compare(one: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 
 def same_grid_pairs(inv: DataFrame) -> DataFrame:
-    """(grid_key, fields, pairs): how many pairs of fields lie on the same grid, by counting, not by listing them."""
+    """(grid_key, points, fields, pairs): how many pairs of fields lie on the same grid, by counting, not by listing them."""
     n = F.count("*")
-    return inv.groupBy("grid_key").agg(n.alias("fields"), F.floor(n * (n - 1) / 2).cast("long").alias("pairs"))
+    return inv.groupBy("grid_key").agg(F.max("n_points").alias("points"), n.alias("fields"), F.floor(n * (n - 1) / 2).cast("long").alias("pairs"))

@@ -143,12 +143,6 @@ def bitmap_expand(spark, sf_dir):
     return fields.expand_bitmap(lines.drop("l_extendedprice"), packed, ["l_orderkey"], "idx", "bit", "rank", "value").drop("bit")
 
 
-@query("select l_suppkey, count(*) as n_points, cast(sum(case when l_quantity > 25 then 1 else 0 end) as bigint) as n_values, sum(case when l_quantity > 25 then 1 else 0 end) between 1 and count(*) as fits from lineitem group by l_suppkey")
-def bitmap_popcount_check(spark, sf_dir):
-    bit = (F.col("l_quantity") > 25).cast("long")
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n_points"), F.sum(bit).alias("n_values"), F.sum(bit).between(1, F.count("*")).alias("fits"))
-
-
 def _scan_query(mode: int):
     # The oracle walks the grid in data order: axes turned first, then every other line.
     col = "24 - col" if mode & 0x80 else "col"
@@ -509,13 +503,6 @@ def surface_level(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", names.surface_value(scale, value).alias("level"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then p_partkey * 100e0 / 100 end as hpa from part")
-def surface_level_hpa(spark, sf_dir):
-    """Levels of isobaric surfaces (type 100) in hectopascals; others have none."""
-    kind = F.when(F.col("p_size") % 2 == 0, 100).otherwise(103)
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(kind == 100, names.surface_value(F.lit(-2), F.col("p_partkey")) / 100).alias("hpa"))
-
-
 CODES = "(select p_partkey, case when p_size % 2 = 0 then 7 else 98 end as centre, 0 as discipline, cast(p_partkey % 4 as integer) as category, cast(case when p_size % 3 = 0 then 192 + p_partkey % 8 else p_partkey % 10 end as integer) as number from part)"
 
 
@@ -613,45 +600,10 @@ def message_inventory(spark, sf_dir):
 # ---- statistics and the relational surface
 
 
-@query("select user_id, count(*) as n, count(v) as n_present, min(v) as least, max(v) as greatest, round(avg(v), 6) as mean from {E} group by user_id", E=EVENTS)
-def field_stats(spark, sf_dir):
-    return event_fields(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count("v").alias("n_present"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.round(F.avg("v"), 6).alias("mean"))
-
-
 @query("select user_id, sha256(string_agg(coalesce(cast(cast(round(v * 10e0 * 0.5e0) as bigint) as varchar), ''), ',' order by event_id)) as fingerprint, count(*) as n, count(v) as n_present from {E} group by user_id", E=EVENTS)
 def fingerprint(spark, sf_dir):
     p = event_fields(spark, sf_dir).withColumns({"r": F.lit(0.0), "e": F.lit(1), "d": F.lit(1)})
     return fields.fingerprint(p, ["user_id"], "event_id", "v", "r", "e", "d")
 
 
-@query("select u.o_custkey, u.o_orderdate, count(*) as pairs, round(sum(sqrt(u.o_totalprice * u.o_totalprice + v.o_totalprice * v.o_totalprice)), 3) as speed from orders u join orders v on u.o_custkey = v.o_custkey and u.o_orderdate = v.o_orderdate where u.o_orderkey % 2 = 0 and v.o_orderkey % 2 = 1 group by u.o_custkey, u.o_orderdate")
-def u_v_pair_join(spark, sf_dir):
-    """Components of wind meet on what their fields have in common."""
-    o = table(spark, sf_dir, "orders")
-    u = o.where("o_orderkey % 2 = 0").select("o_custkey", "o_orderdate", F.col("o_totalprice").alias("u"))
-    v = o.where("o_orderkey % 2 = 1").select("o_custkey", "o_orderdate", F.col("o_totalprice").alias("v"))
-    return u.join(v, ["o_custkey", "o_orderdate"]).groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("pairs"), F.round(F.sum(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))), 3).alias("speed"))
-
-
-@query("select a.s_nationkey as grid, count(*) as pairs from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey group by a.s_nationkey")
-def grid_match_join(spark, sf_dir):
-    """Fields on the same grid, told by a hash of its definition: pairs by counting, not by listing them."""
-    g = table(spark, sf_dir, "supplier").withColumn("grid_id", F.xxhash64("s_nationkey")).groupBy("grid_id").agg(F.first("s_nationkey").alias("grid"), F.count("*").alias("n"))
-    return g.where("n > 1").select("grid", F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
-
-
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
-def missing_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as total from lineitem group by rollup (l_returnflag, l_linestatus)")
-def inventory_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
-
-
-@query("with pl as (select cast(p_brand as varchar) as row, count(*) as pl from part group by p_brand) select row, i, round(i * 360e0 / pl, 7) as lon from (select row, pl, unnest(range(pl)) as i from pl)")
-def reduced_row_points(spark, sf_dir):
-    """Points of rows of different lengths, evenly around the world."""
-    pl = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("row")).agg(F.count("*").alias("pl"))
-    return pl.select("row", "pl", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pl") - 1)).alias("i")).select("row", "i", digits(F.col("i") * 360.0 / F.col("pl")).alias("lon"))
+from isobar import message_queries  # noqa: E402, F401  registers its queries

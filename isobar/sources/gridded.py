@@ -177,13 +177,13 @@ DECODED_FROM = ("section3", "section5", "section7", "bitmap_indicator", "effecti
 
 def decode_fields(fields: DataFrame, keep: tuple[str, ...] = ("path", "msg_no", "field_no"), substitute: bool = False) -> DataFrame:
     """(keep, values, decode_error): the values of every field, null for missing points, or with ``substitute`` what stands for them in complex packing. Only the sections that decoding needs are read; what cannot be decoded has an error."""
-    source = fields.select(*keep, *DECODED_FROM)
+    source = fields.select(*keep, *[F.col(c).alias(f"from_{c}") for c in DECODED_FROM])
     schema = T.StructType([*[source.schema[k] for k in keep], T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("decode_error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+                row = {name: batch.column(len(keep) + i)[k].as_py() for i, name in enumerate(DECODED_FROM)}
                 values, error = None, row["error"]
                 if error is None:
                     try:
