@@ -213,8 +213,10 @@ ZERO = _zero_contexts()
 class Block:
     """The bit planes of one code-block. ``coder(cx, d)`` codes the decision d, or ignores it and returns the decoded one."""
 
-    def __init__(self, w: int, h: int, band: str, values: np.ndarray | None = None):
+    def __init__(self, w: int, h: int, band: str, values: np.ndarray | None = None, causal: bool = False):
         self.w, self.h, self.row = w, h, w + 2
+        #: With causal contexts a stripe takes nothing from the one below; raw passes code signs as they are.
+        self.causal, self.raw = causal, False
         n = (w + 2) * (h + 2)
         self.sig, self.neg, self.mag, self.seen, self.refined = ([0] * n for _ in range(5))
         self.zero = ZERO[band]
@@ -225,15 +227,24 @@ class Block:
         else:
             self.want = self.want_neg = None
 
+    def last_of_stripe(self, p: int) -> bool:
+        return self.causal and (p // self.row - 1) % 4 == 3
+
     def counts(self, p: int) -> tuple[int, int, int]:
         s, r = self.sig, self.row
+        if self.causal and self.last_of_stripe(p):
+            return s[p - 1] + s[p + 1], s[p - r], s[p - r - 1] + s[p - r + 1]
         return s[p - 1] + s[p + 1], s[p - r] + s[p + r], s[p - r - 1] + s[p - r + 1] + s[p + r - 1] + s[p + r + 1]
 
     def sign(self, p: int, coder) -> None:
         s, n, r = self.sig, self.neg, self.row
+        if self.raw:
+            n[p] = coder(0, self.want_neg[p] if self.want_neg else 0)
+            s[p] = 1
+            return
         pull = lambda q: (1 - 2 * n[q]) * s[q]
         h = max(-1, min(1, pull(p - 1) + pull(p + 1)))
-        v = max(-1, min(1, pull(p - r) + pull(p + r)))
+        v = max(-1, min(1, pull(p - r) + (0 if self.last_of_stripe(p) else pull(p + r))))
         turned = int(h < 0 or (h == 0 and v < 0))
         if turned:
             h, v = -h, -v
@@ -286,31 +297,114 @@ class Block:
         return m.reshape(self.h + 2, self.w + 2)[1:-1, 1:-1]
 
 
-def decode_block(data: bytes, w: int, h: int, band: str, planes: int, passes: int) -> np.ndarray:
-    b = Block(w, h, band)
-    mq = Decoder(data)
-    coder = lambda cx, _: mq.bit(cx)
-    plane, kind = planes - 1, 2
-    for _ in range(passes):
-        if plane < 0:
-            raise J2kError("more passes than planes")
-        b.run(kind, plane, coder)
-        kind = (kind + 1) % 3
-        plane -= kind == 0
+#: The bits of a code-block style.
+BYPASS, RESET, TERMINATE, CAUSAL, PREDICTABLE, SEGMENT_MARKS = 1, 2, 4, 8, 16, 32
+#: Passes before raw ones: the first clean-up and three planes.
+BEFORE_RAW = 10
+
+
+def segment_room(style: int, done: int) -> int:
+    """How many passes, after ``done`` of them, still belong to the segment of the next: segments are ended apart, and their lengths are told apart."""
+    if style & TERMINATE:
+        return 1
+    if not style & BYPASS:
+        return 1 << 30
+    if done < BEFORE_RAW:
+        return BEFORE_RAW - done
+    return (2, 1, 1)[(done - BEFORE_RAW) % 3]
+
+
+def is_raw(style: int, number: int) -> bool:
+    return bool(style & BYPASS) and number >= BEFORE_RAW and (number - BEFORE_RAW) % 3 < 2
+
+
+class RawBits:
+    """Bits as they are; an octet after one of ones has seven."""
+
+    def __init__(self, data: bytes = b""):
+        self.data, self.at, self.left, self.octet, self.out = data, 0, 0, 0, bytearray()
+
+    def read(self, _: int, __: int) -> int:
+        if not self.left:
+            self.left = 7 if self.octet == 0xFF else 8
+            self.octet = self.data[self.at] if self.at < len(self.data) else 0xFF
+            self.at += 1
+        self.left -= 1
+        return self.octet >> self.left & 1
+
+    def write(self, _: int, d: int) -> int:
+        if not self.left:
+            self.left = 7 if self.out and self.out[-1] == 0xFF else 8
+            self.out.append(0)
+        self.left -= 1
+        self.out[-1] |= d << self.left
+        return d
+
+    def finish(self) -> bytes:
+        # The rest is filled with 0 and 1 in turn; a segment never ends on ones.
+        k = 0
+        while self.left:
+            self.write(0, k)
+            k = 1 - k
+        return bytes(self.out[:-1] if self.out and self.out[-1] == 0xFF else self.out)
+
+
+def decode_block(segments: list[tuple[int, bytes]], w: int, h: int, band: str, planes: int, style: int = 0) -> np.ndarray:
+    """The values of a code-block from its segments (passes, data)."""
+    b = Block(w, h, band, causal=bool(style & CAUSAL))
+    plane, kind, number = planes - 1, 2, 0
+    contexts = Contexts()
+    for passes, data in segments:
+        raw = is_raw(style, number)
+        mq = RawBits(data) if raw else Decoder(data)
+        if not raw:
+            mq.state, mq.mps = contexts.state, contexts.mps
+        coder = mq.read if raw else (lambda cx, _, mq=mq: mq.bit(cx))
+        for _ in range(passes):
+            if plane < 0:
+                raise J2kError("more passes than planes")
+            b.raw = raw
+            b.run(kind, plane, coder)
+            if kind == 2 and style & SEGMENT_MARKS and [coder(UNIFORM, 0) for _ in range(4)] != [1, 0, 1, 0]:
+                raise J2kError("a segment mark is missing")
+            if style & RESET and not raw:
+                fresh = Contexts()
+                contexts.state[:], contexts.mps[:] = fresh.state, fresh.mps
+            kind = (kind + 1) % 3
+            plane -= kind == 0
+            number += 1
     return b.values()
 
 
-def encode_block(values: np.ndarray, band: str) -> tuple[bytes, int, int]:
-    """(data, planes, passes) of a block."""
+def encode_block(values: np.ndarray, band: str, style: int = 0) -> tuple[list[tuple[int, bytes]], int, int]:
+    """(segments, planes, passes) of a block; a segment has its passes and data."""
     planes = int(np.abs(values).max()).bit_length() if values.size else 0
     if not planes:
-        return b"", 0, 0
-    b, mq = Block(values.shape[1], values.shape[0], band, values), Encoder()
-    b.run(2, planes - 1, mq.bit)
-    for plane in range(planes - 2, -1, -1):
-        for kind in range(3):
-            b.run(kind, plane, mq.bit)
-    return mq.finish(), planes, 3 * planes - 2
+        return [], 0, 0
+    b = Block(values.shape[1], values.shape[0], band, values, bool(style & CAUSAL))
+    passes, segments, number = 3 * planes - 2, [], 0
+    contexts, kind, plane = Contexts(), 2, planes - 1
+    while number < passes:
+        n = min(segment_room(style, number), passes - number)
+        raw = is_raw(style, number)
+        mq = RawBits() if raw else Encoder()
+        if not raw:
+            mq.state, mq.mps = contexts.state, contexts.mps
+        coder = mq.write if raw else mq.bit
+        for _ in range(n):
+            b.raw = raw
+            b.run(kind, plane, coder)
+            if kind == 2 and style & SEGMENT_MARKS:
+                for d in (1, 0, 1, 0):
+                    coder(UNIFORM, d)
+            if style & RESET and not raw:
+                fresh = Contexts()
+                contexts.state[:], contexts.mps[:] = fresh.state, fresh.mps
+            kind = (kind + 1) % 3
+            plane -= kind == 0
+        segments.append((n, mq.finish()))
+        number += n
+    return segments, planes, passes
 
 
 class HeaderBits:
@@ -463,8 +557,9 @@ def _at(x: np.ndarray, shift: int, n: int) -> np.ndarray:
 class Tile:
     """The bands, precincts and code-blocks of a tile."""
 
-    def __init__(self, box: tuple[int, int, int, int], cod: dict, qcd: dict):
-        self.box, self.cod = box, cod
+    def __init__(self, box: tuple[int, int, int, int], cod: dict, qcd: dict, changes: list[dict] = (), shift: int = 0):
+        """``changes``: progressions that follow each other, each over a part of the packets; ``shift``: by how many planes a region of interest is raised."""
+        self.box, self.cod, self.changes, self.shift = box, cod, changes, shift
         levels = cod["levels"]
         self.resolutions = []
         for r in range(levels + 1):
@@ -481,7 +576,7 @@ class Tile:
                 index = 0 if r == 0 else 3 * (r - 1) + 1 + ("HL", "LH", "HH").index(name)
                 if index >= len(qcd["exponents"]):
                     raise J2kError("a band has no exponent")
-                bands.append(self._band(name, b, r, px, py, x0, y0, nw, nh, qcd["exponents"][index] + qcd["guard"] - 1))
+                bands.append(self._band(name, b, r, px, py, x0, y0, nw, nh, qcd["exponents"][index] + qcd["guard"] - 1 + shift))
             self.resolutions.append({"box": (x0, y0, x1, y1), "px": px, "py": py, "nw": nw, "nh": nh, "bands": bands})
 
     def _band(self, name, b, r, px, py, x0, y0, nw, nh, planes):
@@ -498,7 +593,7 @@ class Tile:
                     gw, gh = ceil_div(a1, 1 << cw) - (a0 >> cw), ceil_div(c1, 1 << ch) - (c0 >> ch)
                     for y in range(c0 >> ch, (c0 >> ch) + gh):
                         for x in range(a0 >> cw, (a0 >> cw) + gw):
-                            blocks.append({"box": (max(a0, x << cw), max(c0, y << ch), min(a1, x + 1 << cw), min(c1, y + 1 << ch)), "data": [], "passes": 0, "lblock": 3, "zero": None})
+                            blocks.append({"box": (max(a0, x << cw), max(c0, y << ch), min(a1, x + 1 << cw), min(c1, y + 1 << ch)), "segments": [], "passes": 0, "lblock": 3, "zero": None})
                 precincts.append({"blocks": blocks, "in": TagTree(gw, gh) if blocks else None, "zero": TagTree(gw, gh) if blocks else None})
         return {"name": name, "box": b, "planes": planes, "precincts": precincts}
 
@@ -516,9 +611,14 @@ class Tile:
             return y, x
 
         keys = [lambda p: (p[0], p[1], p[2]), lambda p: (p[1], p[0], p[2]), lambda p: (p[1], *place(p[1], p[2]), p[0]), lambda p: (*place(p[1], p[2]), p[1], p[0]), lambda p: (*place(p[1], p[2]), p[1], p[0])]
-        if cod["progression"] > 4:
-            raise J2kError("an unknown progression")
-        return sorted(every, key=keys[cod["progression"]])
+        out, seen = [], set()
+        for part in [*self.changes, {"progression": cod["progression"], "first": 0, "last": 1 << 8, "layers": 1 << 16}]:
+            if part["progression"] > 4:
+                raise J2kError("an unknown progression")
+            own = [p for p in every if p not in seen and p[0] < part["layers"] and part["first"] <= p[1] < part["last"]]
+            out += sorted(own, key=keys[part["progression"]])
+            seen.update(own)
+        return out
 
     def read(self, data: bytes) -> None:
         at = 0
@@ -543,18 +643,29 @@ class Tile:
                         passes = _read_passes(bits)
                         while bits.read():
                             b["lblock"] += 1
-                        size = bits.read(b["lblock"] + passes.bit_length() - 1)
-                        pieces.append((b, passes, size))
+                        while passes:
+                            n = min(passes, segment_room(self.cod["style"], b["passes"]))
+                            pieces.append((b, n, bits.read(b["lblock"] + n.bit_length() - 1), b["passes"]))
+                            b["passes"] += n
+                            passes -= n
             at = bits.align()
             if self.cod["eph"] and data[at : at + 2] == b"\xff\x92":
                 at += 2
-            for b, passes, size in pieces:
+            for b, passes, size, before in pieces:
                 if at + size > len(data):
                     raise J2kError("a code-block is cut short")
-                b["data"].append(data[at : at + size])
-                b["passes"] += passes
+                # A segment may go on from the layer before.
+                style, last = self.cod["style"], b["segments"][-1] if b["segments"] else None
+                if last and segment_room(style, before - last[0]) > last[0]:
+                    b["segments"][-1] = (last[0] + passes, last[1] + data[at : at + size])
+                else:
+                    b["segments"].append((passes, data[at : at + size]))
                 at += size
 
+    def _raised(self, v: np.ndarray) -> np.ndarray:
+        """Values of a region of interest, which lie above all others, brought down again."""
+        return np.where(np.abs(v) >> self.shift > 0, np.sign(v) * (np.abs(v) >> self.shift), v) if self.shift else v
+
     def samples(self) -> np.ndarray:
         image = None
         for r, res in enumerate(self.resolutions):
@@ -566,7 +677,7 @@ class Tile:
                     for k in p["blocks"]:
                         if k["passes"]:
                             x0, y0, x1, y1 = k["box"]
-                            a[y0 - b[1] : y1 - b[1], x0 - b[0] : x1 - b[0]] = decode_block(b"".join(k["data"]), x1 - x0, y1 - y0, band["name"], band["planes"] - k["zero"], k["passes"])
+                            a[y0 - b[1] : y1 - b[1], x0 - b[0] : x1 - b[0]] = self._raised(decode_block(k["segments"], x1 - x0, y1 - y0, band["name"], band["planes"] - k["zero"], self.cod["style"]))
                 parts[band["name"]] = a
             if r == 0:
                 image = parts["LL"]
@@ -584,8 +695,8 @@ def _markers(data: bytes):
     if at < 0:
         raise J2kError("no codestream")
     at += 2
-    siz = cod = qcd = None
-    tiles: dict[int, list] = {}
+    siz, main = None, {}
+    tiles: dict[int, dict] = {}
     try:
         while at < len(data):
             mark = int.from_bytes(data[at : at + 2], "big")
@@ -599,51 +710,85 @@ def _markers(data: bytes):
                 if siz[9] != 1 or (dx, dy) != (1, 1):
                     raise J2kError("more than one component, or one that is not at full size")
                 siz = (*siz, depth)
-            elif mark == 0xFF52:
-                cod = _coding(body)
-            elif mark == 0xFF5C:
-                if body[0] & 31:
-                    raise J2kError("only the reversible wavelet is supported")
-                qcd = {"guard": body[0] >> 5, "exponents": [v >> 3 for v in body[1:]]}
-            elif mark in (0xFF53, 0xFF5D, 0xFF5E, 0xFF5F, 0xFF60, 0xFF61):
-                raise J2kError(f"marker {mark:04x} is not supported")
+            elif mark in (0xFF60, 0xFF61):
+                raise J2kError("packed packet headers are not supported")
             elif mark == 0xFF90:
                 tile, size = struct.unpack(">HI", body[:6])
                 start = at
                 end = start + size if size else len(data) - 2
                 at += 2 + n
-                own_cod, own_qcd = tiles.get(tile, [cod, qcd])[:2]
+                own = tiles.setdefault(tile, {"data": b""})
                 while data[at : at + 2] != b"\xff\x93":
-                    inner, m = data[at : at + 2], int.from_bytes(data[at + 2 : at + 4], "big")
-                    part = data[at + 4 : at + 2 + m]
-                    if inner == b"\xff\x52":
-                        own_cod = _coding(part)
-                    elif inner == b"\xff\x5c":
-                        own_qcd = {"guard": part[0] >> 5, "exponents": [v >> 3 for v in part[1:]]}
-                    elif inner not in (b"\xff\x58", b"\xff\x64"):
-                        raise J2kError("a marker of a tile is not supported")
+                    inner, m = int.from_bytes(data[at : at + 2], "big"), int.from_bytes(data[at + 2 : at + 4], "big")
+                    if inner in (0xFF60, 0xFF61):
+                        raise J2kError("packed packet headers are not supported")
+                    _parameter(inner, data[at + 4 : at + 2 + m], own)
                     at += 2 + m
                     if m < 2 or at >= len(data):
                         raise J2kError("a tile is cut short")
-                tiles.setdefault(tile, [own_cod, own_qcd, b""])[2] += data[at + 2 : end]
+                own["data"] += data[at + 2 : end]
                 at = end
                 continue
+            else:
+                _parameter(mark, body, main)
             at += 2 + n
     except (struct.error, IndexError) as e:
         raise J2kError(f"damaged codestream: {e}") from None
-    if siz is None or cod is None or qcd is None or not tiles:
+    if siz is None or "cod" not in main or "qcd" not in main or not tiles:
         raise J2kError("the codestream lacks a part")
-    return siz, tiles
+    out = {}
+    for number, own in tiles.items():
+        # The component's own parameters go before those of all, the tile's before the stream's.
+        cod = own.get("cod", main["cod"])
+        blocks = own.get("coc") or own.get("cod") or main.get("coc") or main["cod"]
+        qcd = own.get("qcc") or own.get("qcd") or main.get("qcc") or main["qcd"]
+        inner = {k: blocks[k] for k in ("levels", "xcb", "ycb", "style", "precincts")}
+        out[number] = ({**cod, **inner}, qcd, own.get("poc", main.get("poc", [])), own.get("rgn", main.get("rgn", 0)), own["data"])
+    return siz, out
+
+
+def _parameter(mark: int, body: bytes, into: dict) -> None:
+    """Takes up a marker of coding parameters, of all components or of the only one. Others are passed over."""
+    if mark == 0xFF52:
+        into["cod"] = _coding(body)
+    elif mark == 0xFF53 and body[0] == 0:
+        into["coc"] = _blocks(body[1] & 1, body[2:])
+    elif mark == 0xFF5C:
+        into["qcd"] = _exponents(body)
+    elif mark == 0xFF5D and body[0] == 0:
+        into["qcc"] = _exponents(body[1:])
+    elif mark == 0xFF5E and body[0] == 0:
+        if body[1]:
+            raise J2kError("a region of interest of an unknown style")
+        into["rgn"] = body[2]
+    elif mark == 0xFF5F:
+        parts = [struct.unpack(">BBHBBB", body[k : k + 7]) for k in range(0, len(body) - 6, 7)]
+        into["poc"] = into.get("poc", []) + [{"first": r0, "layers": layers, "last": r1, "progression": order} for r0, c0, layers, r1, _, order in parts if c0 == 0]
+
+
+def _exponents(body: bytes) -> dict:
+    if body[0] & 31:
+        raise J2kError("only the reversible wavelet is supported")
+    return {"guard": body[0] >> 5, "exponents": [v >> 3 for v in body[1:]]}
+
+
+def _blocks(with_precincts: int, body: bytes) -> dict:
+    levels, xcb, ycb, style, wavelet = struct.unpack(">BBBBB", body[:5])
+    if wavelet != 1 or levels > 32:
+        raise J2kError("only the reversible wavelet is supported")
+    if style & ~63:
+        raise J2kError(f"code-block style {style} is not supported")
+    precincts = [(v & 15, v >> 4) for v in body[5 : 6 + levels]] if with_precincts else [(15, 15)] * (levels + 1)
+    if len(precincts) <= levels:
+        raise J2kError("a resolution has no precincts")
+    return {"levels": levels, "xcb": (xcb & 15) + 2, "ycb": (ycb & 15) + 2, "style": style, "precincts": precincts}
 
 
 def _coding(body: bytes) -> dict:
-    style, progression, layers, multi, levels, xcb, ycb, block_style, wavelet = struct.unpack(">BBHBBBBBB", body[:10])
-    if wavelet != 1 or multi or levels > 32:
-        raise J2kError("only the reversible wavelet of one component is supported")
-    if block_style:
-        raise J2kError(f"code-block style {block_style} is not supported")
-    precincts = [(v & 15, v >> 4) for v in body[10 : 11 + levels]] if style & 1 else [(15, 15)] * (levels + 1)
-    return {"progression": progression, "layers": layers, "levels": levels, "xcb": (xcb & 15) + 2, "ycb": (ycb & 15) + 2, "precincts": precincts, "sop": bool(style & 2), "eph": bool(style & 4)}
+    scod, progression, layers, multi = struct.unpack(">BBHB", body[:5])
+    if multi:
+        raise J2kError("a transform of several components is not supported")
+    return {"progression": progression, "layers": layers, "sop": bool(scod & 2), "eph": bool(scod & 4), **_blocks(scod & 1, body[5:])}
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -654,20 +799,20 @@ def decode(data: bytes) -> np.ndarray:
         raise J2kError("the image has no sensible size")
     across = ceil_div(x1 - tx, tw)
     out = np.zeros((y1 - y0, x1 - x0), np.int64)
-    for number, (cod, qcd, body) in tiles.items():
+    for number, (cod, qcd, changes, shift, body) in tiles.items():
         i, j = number % across, number // across
         box = max(tx + i * tw, x0), max(ty + j * th, y0), min(tx + (i + 1) * tw, x1), min(ty + (j + 1) * th, y1)
         if box[2] <= box[0] or box[3] <= box[1]:
             raise J2kError("a tile lies outside the image")
-        tile = Tile(box, cod, qcd)
+        tile = Tile(box, cod, qcd, changes, shift)
         tile.read(body)
         out[box[1] - y0 : box[3] - y0, box[0] - x0 : box[2] - x0] = tile.samples()
     # Unsigned samples are shifted by half their range.
     return out if depth & 0x80 else out + (1 << (depth & 0x7F))
 
 
-def encode(samples: np.ndarray, bits: int, levels: int = 5) -> bytes:
-    """One tile and layer of unsigned samples of ``bits`` bits; no more levels than the shorter side halves."""
+def encode(samples: np.ndarray, bits: int, levels: int = 5, style: int = 0) -> bytes:
+    """One tile and layer of unsigned samples of ``bits`` bits, in code-blocks of any style; no more levels than the shorter side halves."""
     h, w = samples.shape
     levels = min(levels, max(min(h, w).bit_length() - 1, 0))
     x = np.asarray(samples, np.int64) - (1 << (bits - 1))
@@ -680,7 +825,7 @@ def encode(samples: np.ndarray, bits: int, levels: int = 5) -> bytes:
         x = ll
     bands.append({"LL": x})
     gain = {"LL": 0, "HL": 1, "LH": 1, "HH": 2}
-    coded = [[(name, a, [[encode_block(a[y : y + 64, c : c + 64], name) for c in range(0, a.shape[1], 64)] for y in range(0, a.shape[0], 64)]) for name, a in res.items()] for res in reversed(bands)]
+    coded = [[(name, a, [[encode_block(a[y : y + 64, c : c + 64], name, style) for c in range(0, a.shape[1], 64)] for y in range(0, a.shape[0], 64)]) for name, a in res.items()] for res in reversed(bands)]
     most = max([1, *(b[1] - bits - gain[name] for res in coded for name, _, rows in res for row in rows for b in row)])
     guard = max(2, most + 1)
     body = b""
@@ -695,19 +840,19 @@ def encode(samples: np.ndarray, bits: int, levels: int = 5) -> bytes:
             gw, gh = len(rows[0]), len(rows)
             inside = TagTree(gw, gh, [int(not b[2]) for b in flat])
             zero = TagTree(gw, gh, [planes - b[1] for b in flat])
-            for n, (piece, _, passes) in enumerate(flat):
+            for n, (segments, _, passes) in enumerate(flat):
                 if not inside.walk(n, 1, head):
                     continue
                 zero.value(n, head)
                 _write_passes(passes, head)
-                extra = passes.bit_length() - 1
-                lblock = max(3, len(piece).bit_length() - extra)
+                lblock = max([3, *(len(piece).bit_length() - k.bit_length() + 1 for k, piece in segments)])
                 head.write((1 << (lblock - 3 + 1)) - 2, lblock - 3 + 1)
-                head.write(len(piece), lblock + extra)
-                data += piece
+                for k, piece in segments:
+                    head.write(len(piece), lblock + k.bit_length() - 1)
+                    data += piece
         body += head.done() + data
     siz = struct.pack(">HHIIIIIIIIHBBB", 41, 0, w, h, 0, 0, w, h, 0, 0, 1, bits - 1, 1, 1)
-    cod = struct.pack(">HBBHBBBBBB", 12, 0, 0, 1, 0, levels, 4, 4, 0, 1)
+    cod = struct.pack(">HBBHBBBBBB", 12, 0, 0, 1, 0, levels, 4, 4, style, 1)
     exponents = [bits] + [bits + g for _ in range(levels) for g in (1, 1, 2)]
     qcd = struct.pack(">HB", 3 + len(exponents), guard << 5) + bytes(e << 3 for e in exponents)
     sot = struct.pack(">HHIBB", 10, 0, 14 + len(body), 0, 1)

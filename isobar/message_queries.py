@@ -270,10 +270,11 @@ def shifted(spark, sf_dir) -> DataFrame:
 def _nearest_query(name: str):
     def f(spark, sf_dir):
         found = grids.nearest_values(grid_field(spark, name), shifted(spark, sf_dir), ("path",))
-        return found.select("event_id", "idx", "value", digits(F.col("distance"), 8).alias("distance"), "error")
+        # Cut between any two numbers of twelve decimals, to which distances are rounded, so that no tie is left to rounding.
+        return found.select("event_id", "idx", "value", (F.floor(F.col("distance") * 1e8 + 0.30005) / 1e8).alias("distance"), "error")
 
     f.__name__ = f"nearest_value_{name}"
-    near = NEAREST_SQL.replace("round(min(d), 9)", "round(min(d), 8)").replace("{H}", HAVERSINE).replace("{P}", SHIFTED).replace("{G}", f"({GRIDS[name][4]})").replace("{W}", "true")
+    near = NEAREST_SQL.replace("round(min(d), 9)", "floor(min(d) * 1e8 + 0.30005e0) / 1e8").replace("{H}", HAVERSINE).replace("{P}", SHIFTED).replace("{G}", f"({GRIDS[name][4]})").replace("{W}", "true")
     query(f"select event_id, idx, (idx * 7919 % 1000) / 8e0 as value, distance, cast(null as varchar) as error from ({near})")(f)
 
 
