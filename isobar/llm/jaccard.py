@@ -147,6 +147,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iter
         yield pa.Table.from_batches(held)
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks compare sets: as many as shuffles have, not fewer where there are few bytes, as each takes long."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
@@ -175,7 +180,7 @@ def compare_small(buckets: DataFrame) -> DataFrame:
             keys = table.column("key").combine_chunks()
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), keys.take(pa.array(label[own]))], names=["a", "b"])
 
-    return buckets.repartition("path").sortWithinPartitions("path").select("path", "key", "sketch").mapInArrow(run, PAIR)
+    return buckets.repartition(_tasks(buckets), "path").sortWithinPartitions("path").select("path", "key", "sketch").mapInArrow(run, PAIR)
 
 
 def candidate_links(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -258,7 +263,7 @@ def check_groups(members: DataFrame, threshold: float) -> DataFrame:
                 parts += n_blocks[lo:hi].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(root, pa.binary()), pa.array(links, pa.int64()), pa.array(parts, pa.int64())], names=CHECKED.fieldNames())
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, CHECKED)
+    return dealt.repartition(_tasks(dealt), "group").sortWithinPartitions("group").mapInArrow(run, CHECKED)
 
 
 def _sets_of(chosen: DataFrame) -> DataFrame:
