@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from isobar.llm.textarrays import Texts, chunks, runs
 
 LETTER, DIGIT, OTHER, SPACE, UNSAFE, UNMET = 0, 1, 2, 3, 4, 5
-#: Distinct words, and characters in them, that a worker remembers before it forgets the rare ones; bounds its memory.
-REMEMBERED, REMEMBERED_CHARS = 120_000, 4_000_000
+#: Distinct words that a worker remembers before it forgets the rare ones, and octets of them for each; bounds its memory.
+REMEMBERED, OCTETS_EACH = 120_000, 64
 #: The contractions that the pre-tokenizer splits off, in the order in which it tries them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Stands for the end-of-word suffix within a word; no byte-level symbol.
@@ -286,30 +286,31 @@ def _merges(path: str) -> Merges:
 
 
 class WordCodes:
-    """Remembered words: row r has the ids ``flat[at[r]:at[r + 1]]``. Rows are found by the word itself, as code points in bytes or, for words that the library split off, in byte-level symbols."""
+    """Remembered words: row r has the ids ``flat[at[r]:at[r + 1]]``. Rows are found by the word itself: in Latin-1, or as a tuple with its text, or, for words that the library split off, in byte-level symbols."""
 
-    def __init__(self, splitter: Splitter, encode, extra=None):
-        self.splitter, self.encode, self.extra = splitter, encode, extra
+    def __init__(self, splitter: Splitter, encode, extra=None, remembered: int | None = None):
+        self.splitter, self.encode, self.extra, self.remembered = splitter, encode, extra, remembered
         self.alphabet = "".join([symbol for _, symbol in sorted(byte_symbols().items())])
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes | str | int, int] = {}
+        self.row: dict[bytes | tuple | str | int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 12, np.int64)
         self.used = np.zeros(1 << 12, np.int64)
-        self.n = self.chars = 0
+        self.n = self.octets = 0
         self.more: list = []
 
     def forget(self) -> None:
         """Where too many words are remembered, keeps those met more than once since, at most half; rows given before mean nothing then."""
-        if self.n <= REMEMBERED and self.chars <= REMEMBERED_CHARS:
+        most = self.remembered or REMEMBERED
+        if self.n <= most and self.octets <= OCTETS_EACH * most:
             return
         words, used = list(self.row), self.used[: self.n]
-        often = np.argsort(-used, kind="stable")[: REMEMBERED // 2]
+        often = np.argsort(-used, kind="stable")[: most // 2]
         often = often[used[often] > 1]
-        sizes = np.array([len(words[i]) if not isinstance(words[i], int) else 1 for i in often.tolist()], np.int64)
-        keep = np.sort(often[np.cumsum(sizes) <= REMEMBERED_CHARS // 2])
+        sizes = np.array([self._octets(words[i]) for i in often.tolist()], np.int64)
+        keep = np.sort(often[np.cumsum(sizes) <= OCTETS_EACH * most // 2])
         flat, begin = self.ids(keep)
         more = [self.more[i] for i in keep.tolist()] if self.extra else []
         used = used[keep]
@@ -317,32 +318,52 @@ class WordCodes:
         self.clear()
         self.flat, self.at, self.used = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), np.concatenate([begin, np.zeros(1 << 12, np.int64)]), np.concatenate([used // 2, np.zeros(1 << 12, np.int64)])
         self.n, self.more, self.row = len(words), more, dict(zip(words, range(len(words)), strict=True))
-        self.chars = sum(len(w) for w in words if not isinstance(w, int))
+        self.octets = sum(map(self._octets, words))
+
+    @staticmethod
+    def _octets(word: bytes | tuple | str | int) -> int:
+        return 8 if isinstance(word, int) else len(word) if not isinstance(word, tuple) else 4 * len(word[0])
+
+    def _spelled(self, word: bytes | tuple | str) -> str:
+        """A word's byte-level symbols with ``END``; printable ASCII stands for itself."""
+        if isinstance(word, str):
+            return word
+        text = word.decode("latin-1") if isinstance(word, bytes) else word[0]
+        if not (text.isascii() and text.isprintable()):
+            text = codecs.charmap_decode(text.encode(), "strict", self.alphabet)[0]
+        return text + END
 
     def rows(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The row of each word; words not met before are encoded together."""
         if not len(start):
             return np.zeros(0, np.int64)
-        length = end - start
         offset = np.zeros(len(start) + 1, np.int64)
-        np.cumsum(length, out=offset[1:])
-        own = low[np.repeat(start - offset[:-1], length) + np.arange(offset[-1])]
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(4 * offset), pa.py_buffer(own.astype("<u4", copy=False))])
-        coded = words.dictionary_encode()
-        spelled = lambda w: codecs.charmap_decode(w.decode("utf-32-le").encode(), "strict", self.alphabet)[0] + END
-        rows = self.rows_of(coded.dictionary.to_pylist(), spelled)[coded.indices.to_numpy()]
+        np.cumsum(end - start, out=offset[1:])
+        # Words end to end; they don't overlap, so where they are is told by their bounds.
+        edge = np.zeros(len(low) + 1, np.int8)
+        edge[start] += 1
+        edge[end] -= 1
+        own = low[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        narrow = own.max() < 256
+        data, width = (own.astype(np.uint8), 1) if narrow else (own.astype("<u4", copy=False), 4)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(width * offset), pa.py_buffer(data)]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if not narrow:
+            texts = [w.decode("utf-32-le") for w in words]
+            words = [t.encode("latin-1") if t.isascii() or max(t) < "\u0100" else (t,) for t in texts]
+        rows = self.rows_of(words)[coded.indices.to_numpy()]
         self.used[: self.n] += np.bincount(rows, minlength=self.n)
         return rows
 
-    def rows_of(self, words: list, spelled=lambda w: w) -> np.ndarray:
-        """The row of each of some words; ``spelled`` gives their byte-level symbols. Numbers are ids of special tokens."""
+    def rows_of(self, words: list) -> np.ndarray:
+        """The row of each of some words. Numbers are ids of special tokens."""
         get = self.row.get
         rows = [get(w, -1) for w in words]
         if -1 in rows:
             new = list(dict.fromkeys([w for w, r in zip(words, rows, strict=True) if r < 0]))
             special = [w for w in new if isinstance(w, int)]
             plain = [w for w in new if not isinstance(w, int)]
-            self.add(plain + special, [*self.encode([spelled(w) for w in plain]), *([w] for w in special)])
+            self.add(plain + special, [*self.encode([self._spelled(w) for w in plain]), *([w] for w in special)])
             rows = [r if r >= 0 else get(w) for w, r in zip(words, rows, strict=True)]
         return np.array(rows, np.int64)
 
@@ -358,7 +379,7 @@ class WordCodes:
         if self.extra:
             self.more.extend(map(self.extra, ids))
         self.row.update(zip(words, range(self.n, self.n + len(ids)), strict=True))
-        self.chars += sum(len(w) for w in words if not isinstance(w, int))
+        self.octets += sum(map(self._octets, words))
         self.n += len(ids)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,7 +411,7 @@ def bpe_roundtrip(documents: DataFrame, tokenizer: str, text: str = "text", keep
     ``decoded_sha256`` (of the decoded text), and with ``ids`` also the arrays of ids and the decoded texts. A null text counts as
     empty: no tokens, and the digests of the empty string. Rows are independent, so repeated rows give repeated results; an empty
     table gives an empty result. ``tokenizer`` is the path of the vocabulary file, the same on every executor. Other columns,
-    whatever their names, are not read. One pass without a shuffle; a worker's memory is bounded by ``REMEMBERED`` words and the
+    whatever their names, are not read. One pass without a shuffle; a worker's memory is bounded by ``REMEMBERED`` words of ``OCTETS_EACH`` octets and the
     longest text.
     """
     source = documents.select(*[documents[c].alias(f"k{i}") for i, c in enumerate(keep)], documents[text].cast("string").alias("text"))

@@ -2,7 +2,7 @@
 
 A token file is a folder with two Parquet tables, which Spark's committers write whole or not at all, in any store:
 
-* ``segments``: runs of about a hundred thousand ids of whole documents. ``blocks`` holds the packed ids, ``offsets`` is the index of
+* ``segments``: runs of some hundred thousand ids of whole documents. ``blocks`` holds the packed ids, ``offsets`` is the index of
   the block starts in it (unsigned 32-bit, little-endian), ``doc_ids`` and ``doc_tokens`` tell the documents apart.
 * ``starts``: the number of the first id of each segment in the whole file.
 
@@ -29,8 +29,10 @@ from isobar.llm.textarrays import chunks
 BLOCK = 128
 PERCENTILE = 90
 HEAD = 6
-#: Code points of text that make one segment.
-SEGMENT_CHARS = 1 << 19
+#: Octets of text that make one segment, about.
+SEGMENT_CHARS = 1 << 20
+#: Distinct words that a worker remembers; of each it holds the ids only.
+REMEMBERED = 300_000
 #: Bytes of Parquet row groups, so that a reader holds few segments at a time.
 ROW_GROUP = 8 << 20
 
@@ -116,7 +118,7 @@ def write_token_file(documents: DataFrame, path: str, tokenizer: str, end_id: in
 
         split = _splitter(tokenizer)
         tokenize = split.tok.model.tokenize
-        codes = WordCodes(split, lambda words: [[t.id for t in tokenize(w[:-1])] for w in words])
+        codes = WordCodes(split, lambda words: [[t.id for t in tokenize(w[:-1])] for w in words], remembered=REMEMBERED)
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece, texts in chunks(batch, most=SEGMENT_CHARS):

@@ -70,7 +70,15 @@ def test_forgetting_words_changes_nothing(spark, library, monkeypatch):
         assert codes.n <= 40 or k == 0
         low, start, end, _ = codes.splitter(Texts(pa.array([" ".join(words)])))
         assert codes.ids(codes.rows(low, start, end))[0].tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
-    assert b"".join(c.encode("utf-32-le") for c in "the") in codes.row
+    assert b"the" in codes.row
+
+
+def test_words_of_any_width_are_told_apart(spark, library):
+    """Latin-1 words, wider ones and private characters in one worker's memory, met in chunks of either kind."""
+    texts = ["a\x00\x00\x00 a", "b \u0101", "a a\x00\x00\x00 \u2019s x\ue000 x", "x", "é \xe9\u0301 e\u0301", "ÿ \u0178"]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    for r in bpe_roundtrip(frame(spark, rows).repartition(1), PATH, ids=True).collect():
+        assert r.ids == library.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids
 
 
 def test_texts_of_any_script_go_through_guess_and_check(spark):
