@@ -27,11 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from isobar.llm.textarrays import Texts, chunks, runs
+from isobar.llm.textarrays import Texts, chunks, release, runs
 
 LETTER, DIGIT, OTHER, SPACE, UNSAFE, UNMET = 0, 1, 2, 3, 4, 5
 #: Distinct words that a worker remembers before it forgets the rare ones, and octets of them for each; bounds its memory.
-REMEMBERED, OCTETS_EACH = 120_000, 64
+REMEMBERED, OCTETS_EACH = 80_000, 64
 #: The contractions that the pre-tokenizer splits off, in the order in which it tries them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Stands for the end-of-word suffix within a word; no byte-level symbol.
@@ -301,9 +301,9 @@ class WordCodes:
         self.n = self.octets = 0
         self.more: list = []
 
-    def forget(self) -> None:
-        """Where too many words are remembered, keeps those met more than once since, at most half; rows given before mean nothing then."""
-        most = self.remembered or REMEMBERED
+    def forget(self, most: int | None = None) -> None:
+        """Where more than ``most`` words are remembered, keeps those met more than once since, at most half; rows given before mean nothing then."""
+        most = most or self.remembered or REMEMBERED
         if self.n <= most and self.octets <= OCTETS_EACH * most:
             return
         words, used = list(self.row), self.used[: self.n]
@@ -454,6 +454,9 @@ def bpe_roundtrip(documents: DataFrame, tokenizer: str, text: str = "text", keep
                 if ids:
                     columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_text, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+        # A worker outlives its task, and other operators need the room.
+        codes.forget(REMEMBERED // 4)
+        release()
 
     out = source.mapInArrow(run, schema)
     return out.toDF(*keep, *schema.fieldNames()[len(keep) :])
